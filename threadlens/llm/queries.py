@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
-from .common import table
+from . import bpe, materialize, mixing, sharding
+from .common import stage_path, table
 
 #: Production parameters of the sharding query.
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
 
+def _ids_digest(ids: str) -> Column:
+    """The SHA-256 of the decimal ids, joined by commas."""
+    return F.sha2(F.array_join(F.col(ids).cast("array<string>"), ","), 256)
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
@@ -24,9 +30,29 @@ def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, SHARDS).select("doc_id", "slot", "shard")
 
 
+def op7_write_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence as it is read back from the shards."""
+    path = stage_path(spark, "shards")
+    materialize.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), path)
+    read = materialize.read_shards(spark, path)
+    return read.select("slot", "shard", "doc_id", "part", "n_tokens", _ids_digest("tokens").alias("tokens_sha256"))
+
+
+def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return coded.select(
+        F.col("id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_tokens"),
+        _ids_digest("ids").alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op6_shard_documents": op6_shard_documents,
+    "op7_write_training_order": op7_write_training_order,
+    "op8_bpe_encode_decode": op8_bpe_encode_decode,
 }
 
 ORACLES: dict[str, str] = {
