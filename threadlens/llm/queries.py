@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, materialize, mixing, quality_classifier, quality_rules, sharding
+from . import bpe, embedding_dedup, materialize, mixing, quality_classifier, quality_rules, sharding, simhash
 from .common import stage_path, table
 
 #: Production parameters of the sharding query.
@@ -25,6 +25,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
@@ -60,6 +65,11 @@ def op8_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
@@ -68,10 +78,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_scores": op3_quality_scores,
     "op6_shard_documents": op6_shard_documents,
     "op7_write_training_order": op7_write_training_order,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
