@@ -155,7 +155,7 @@ def mix(
 def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word."""
     word = F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){")
-    return F.regexp_extract(text, F.concat(word, n.cast("string"), F.lit("}+")), 0)
+    return F.call_function("regexp_extract", text, F.concat(word, n.cast("string"), F.lit("}+")), F.lit(0))
 
 
 def mix_documents(

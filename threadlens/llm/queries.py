@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, materialize, mixing, quality_classifier, quality_rules, sharding, simhash
+from . import bpe, chat, embedding_dedup, materialize, mixing, quality_classifier, quality_rules, sharding, simhash, substring
 from .common import stage_path, table
 
 #: Production parameters of the sharding query.
@@ -42,6 +42,22 @@ def op3_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of the table is an event that opens a message; conversation -1 holds control strings as text."""
+    control = "<|im_end|><|im_start|>assistant ok"
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    rows = rows.unionAll(spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], rows.schema))
+    events = rows.select("conv_id", F.col("turn").alias("message_id"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    return chat.read_back(chat.render(chat.fold_events(events)))
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring.dedup_substrings(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    spans = F.array_join(F.transform("removed_spans", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
+    return cut.select("doc_id", F.size("removed_spans").alias("n_spans"), removed.alias("removed_chars"), spans.alias("spans"), "text")
+
+
 def op6_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id")
     return sharding.assign_shards(docs, SHARDS).select("doc_id", "slot", "shard")
@@ -80,6 +96,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_quality_scores": op3_quality_scores,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_shard_documents": op6_shard_documents,
     "op7_write_training_order": op7_write_training_order,
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
