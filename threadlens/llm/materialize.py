@@ -27,6 +27,7 @@ import base64
 import hashlib
 import json
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -88,7 +89,7 @@ def _sequences(tokenizer: str, length: int, texts: list[bytes]) -> Iterator[tupl
     encoding = _encoding(tokenizer)
     end = encoding.n_vocab
     for i, text in enumerate(texts):
-        tokens = np.append(encoding.encode_to_numpy(text.decode(), disallowed_special=()), np.uint32(end))
+        tokens = np.array(array("I", [*encoding.encode_ordinary(text.decode()), end]))
         for at in range(0, len(tokens), length):
             yield i, tokens[at : at + length]
 
@@ -99,7 +100,7 @@ def _count(rows: DataFrame, tokenizer: str, length: int) -> list[int]:
         encoding = _encoding(tokenizer)
         for batch in batches:
             for texts in text_slices(batch.column("text")):
-                n += sum(len(encoding.encode_to_numpy(t.decode(), disallowed_special=())) // length + 1 for t in texts)
+                n += sum(len(encoding.encode_ordinary(t.decode())) // length + 1 for t in texts)
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
 
     counted = {r.part: r.n for r in rows.select("text").mapInArrow(run, "part int, n long").collect()}
