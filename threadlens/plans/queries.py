@@ -149,7 +149,7 @@ def format_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", format_timestamp(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)).alias("time"))
 
 
-@register("SELECT event_id, round(epoch_ms(ts)::DOUBLE / 1000, 3) AS epoch FROM events")
+@register("SELECT event_id, round(floor(epoch_us(ts) / 1000.0) / 1000, 3) AS epoch FROM events")
 def timestamp_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     text = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
