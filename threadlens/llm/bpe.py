@@ -28,8 +28,9 @@ from pyspark.sql import DataFrame
 
 from .common import text_slices
 
-#: Words whose encodings a worker keeps; about 200 bytes each.
-MEMO_WORDS = 400_000
+#: Words whose encodings a worker keeps, and pairs of tokens known to stay apart or not; about 200 bytes each.
+MEMO_WORDS = 150_000
+MEMO_PAIRS = 200_000
 
 #: Fixed value: how byte-level tokenizers cut a text into words.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -82,7 +83,7 @@ class ByteBpe:
         """Whether merging the bytes of tokens a and b in order of rank, leftmost first, ends with just these two tokens."""
         known = self.apart.get((a, b))
         if known is None:
-            if len(self.apart) > 2_000_000:
+            if len(self.apart) > MEMO_PAIRS:
                 self.apart.clear()
             known = self.apart[a, b] = self._apart_below(a, b, len(self.merge))
         return known
