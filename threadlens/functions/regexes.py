@@ -76,6 +76,13 @@ REDACTIONS = [
     (r"""(^|[\s"'=(])(?:file://)?(?:~/|/(?:Users|home|var/folders|private/var|tmp)/)[^\s"'<>]+""", r"\1[REDACTED_PATH]"),
     (r"""(?i)\b[A-Z]:\\[^\s"'<>]+""", "[REDACTED_PATH]"),
 ]
+#: Lower-case strings of which a text that one of these patterns matches must hold at least one; the patterns themselves are slow.
+_TOKENS = ["sk_", "sk-", "pk_", "pk-", "rk_", "rk-", "ghp", "github_pat", "xox", "glpat", "akia"]
+_NAMES = ["key", "secret", "token", "passw"]
+SECRET_HINTS = [[*_TOKENS, "bearer"], _NAMES, ["hooks.slack.com"], ["eyj"], ["-----begin "]]
+#: What earlier replacements leave behind has names in it, so their hints are hints of names, too.
+_LATER = [*_NAMES, "-----begin ", "bearer", *_TOKENS, "hooks.slack.com", "eyj"]
+REDACTION_HINTS = [["-----begin "], ["bearer"], _TOKENS, ["hooks.slack.com"], ["eyj"], _LATER, _LATER, ["://"], _LATER, ["@"], ["~/", "/users/", "/home/", "/var/", "/private/", "/tmp/"], [":\\"]]
 FENCED_CODE, INLINE_CODE = r"(?s)```.*?```", r"`[^`]*`"
 MARKDOWN_LINK, MARKDOWN_MARKER = r"!?(?:\[[^\]]*\])\([^)]*\)", r"(?m)^\s{0,3}(?:[#>*+\-]|\d+[.)])\s+"
 DECISION_CUE = r"(?i)\b(?:decide|decision|choose|chose|choice|select|selected|prefer|preferred|recommend|recommendation|should we|we['’]?ll use|we will use|let['’]?s use|adopt|go with|pick|trade[- ]off|instead of|rather than)\b|决定|决策|选择|选用|偏好|推荐|建议|采用|取舍|替代|代替|改用|不要.*改|不使用"
