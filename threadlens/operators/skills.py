@@ -1,0 +1,100 @@
+"""Skill bundles from sessions, with slugs that avoid each other, and their text form."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from .sessions import session_rollup
+from .signals import quality_gate, signal_bundle
+from .windows import instructions
+
+# Sizes, and sentences of a bundle.
+SLUG_CHARS, LEAST_SLUG, TRIGGER_CHARS, HIGH_RISK = 64, 3, 180, 0.8
+NO_TRIGGER = "Use when the validated workflow from this session is requested."
+
+
+def trigger(first_user: Column, intent: Column) -> Column:
+    text = F.regexp_replace(T.message_summary(F.coalesce(first_user, F.lit("")), TRIGGER_CHARS), r"\.\z", "")
+    known = F.concat(F.lit("Use when the user requests a "), intent, F.lit(" workflow."))
+    return F.when(text != "", F.concat(F.lit("Use when the user asks to "), text, F.lit("."))).when((intent == "") | (intent == "unknown"), NO_TRIGGER).otherwise(known)
+
+
+def risks(evidence: Column, one_off: Column, secret: Column, intent: Column) -> Column:
+    return F.array_compact(
+        F.array(
+            F.when(evidence == "", "insufficient success evidence"),
+            F.when(one_off >= HIGH_RISK, F.format_string("one-off risk %.2f", one_off)),
+            F.when(secret > 0, F.format_string("secret risk %.2f", secret)),
+            F.when(intent == "correction", "correction or retry pattern"),
+        )
+    )
+
+
+def cut_slug(slug: Column, chars: Column | int = SLUG_CHARS) -> Column:
+    return F.when(F.length(slug) > chars, F.regexp_replace(F.substring(slug, F.lit(1), F.lit(chars) if isinstance(chars, int) else chars), "^-+|-+\\z", "")).otherwise(slug)
+
+
+def bundles(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per session with messages: the quality gate's columns, title, slug, trigger, risks and instructions."""
+    m = messages.where(F.lower("role").isin("user", "assistant") & (T.trim_white(F.col("text")) != "") & ~T.is_noise(F.col("text")))
+    place = F.struct(F.coalesce("ts", F.lit(0.0)), "id")
+    first = m.groupBy(*keys).agg(F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", place)).alias("first_user"))
+    titles = session_rollup(messages).groupBy(*keys).agg(F.coalesce(F.min_by(F.when(F.col("title") != "", F.col("title")), F.when(F.col("title") != "", F.struct("created", "source_path"))), F.lit("")).alias("title"))
+    known = quality_gate(signal_bundle(messages, keys)).join(first, keys).join(titles, keys).join(instructions(m, keys), keys, "left")
+    known = known.withColumn("plain", T.slugify(F.col("title")))
+    # Only sessions without a usable title are brought together for a digest.
+    bare = known.where(F.length("plain") < LEAST_SLUG).select(*keys)
+    said = F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), "role", "text"))), lambda x: F.concat(x["role"], F.lit("\0"), x["text"]))
+    digests = m.join(bare, keys, "left_semi").groupBy(*keys).agg(said.alias("said"))
+    out = known.join(digests, keys, "left")
+    named = F.concat(F.lit("skill-"), F.substring(F.sha2(F.concat(F.col("title"), F.lit("\0"), F.array_join("said", "\0")), 256), 1, 8))
+    slug = cut_slug(F.when(F.length("plain") < LEAST_SLUG, named).otherwise(F.col("plain")))
+    return out.select(
+        *keys, "title", slug.alias("slug"), trigger(F.col("first_user"), F.col("intent")).alias("trigger"), F.coalesce("instructions", F.lit("")).alias("instructions"),
+        F.array_join(risks(F.col("success_evidence"), F.col("one_off_risk"), F.col("secret_risk"), F.col("intent")), "|").alias("risks"), "disposition", "score",
+    )
+
+
+def unique_slugs(rows: DataFrame, used: DataFrame, order: list[str], slug: str = "slug") -> DataFrame:
+    """Replaces slugs that are taken: by earlier rows with the same, or in `used` (slug). Numbers are tried from 2 on.
+
+    The first row of a slug keeps it if it is free; the r-th of the others gets the r-th free number. To find these, as many numbers are
+    listed as there are rows and used slugs of that stem together, so one pass is enough. Long slugs are cut to make room for the number;
+    those that agree in all that is left then share one count.
+    """
+    room = SLUG_CHARS - 8
+
+    def stem(s: Column) -> Column:
+        return cut_slug(s, room)
+
+    mine = Window.partitionBy(slug).orderBy(*order)
+    taken = used.select(F.col("slug").alias("taken")).where("taken IS NOT NULL").distinct()
+    ranked = rows.withColumn("nth", F.row_number().over(mine)).join(taken, F.col(slug) == F.col("taken"), "left")
+    free = (F.col("nth") == 1) & F.col("taken").isNull()
+    kept = ranked.where(free).drop("nth", "taken")
+    others = ranked.where(~free).drop("nth", "taken").withColumn("stem", stem(F.col(slug)))
+    others = others.withColumn("nth", F.row_number().over(Window.partitionBy("stem").orderBy(slug, *order)))
+    blocked = taken.select(F.col("taken").alias("name")).unionByName(rows.select(F.col(slug).alias("name"))).distinct()
+    blocked = blocked.withColumn("tail", F.regexp_extract("name", r"-([0-9]{1,7})\z", 1)).where("tail <> ''")
+    blocked = blocked.select(stem(F.regexp_replace("name", r"-[0-9]{1,7}\z", "")).alias("stem"), F.col("tail").cast("long").alias("number")).distinct()
+    counts = others.groupBy("stem").agg(F.count("*").alias("n")).join(blocked.groupBy("stem").agg(F.count("*").alias("b")), "stem", "left")
+    numbers = counts.select("stem", F.explode(F.sequence(F.lit(2).cast("long"), F.col("n") + F.coalesce("b", F.lit(0)) + 1)).alias("number")).join(blocked, ["stem", "number"], "left_anti")
+    numbers = numbers.withColumn("nth", F.row_number().over(Window.partitionBy("stem").orderBy("number")))
+    tail = F.concat(F.lit("-"), F.col("number").cast("string"))
+    renamed = others.join(numbers, ["stem", "nth"]).withColumn(slug, F.concat(cut_slug(F.col(slug), F.lit(SLUG_CHARS) - F.length(tail)), tail))
+    return kept.unionByName(renamed.select(*kept.columns))
+
+
+def markdown(bundle: DataFrame) -> DataFrame:
+    """Bundles with their text form in `document`; null where it would hold a secret."""
+    quoted = lambda c: F.to_json(F.struct(F.col(c).alias("v"))).substr(F.lit(6), F.length(F.to_json(F.struct(F.col(c).alias("v")))) - 6)
+    body = F.concat(F.lit("---\nname: "), F.col("slug"), F.lit("\ndescription: "), quoted("trigger"), F.lit("\n---\n\n# "), F.col("title"), F.lit("\n\n"), F.col("instructions"), F.lit("\n"))
+    return bundle.withColumn("document", F.when(T.secret_count(body) == 0, body))
+
+
+def publish(bundle: DataFrame, path: str) -> None:
+    """Writes the documents of drafted bundles, a folder for each slug's first character, from the tasks that hold them."""
+    ready = markdown(bundle).where("disposition = 'draft' AND document IS NOT NULL").select("slug", "document", F.substring("slug", 1, 1).alias("shelf"))
+    ready.write.mode("overwrite").partitionBy("shelf").parquet(path)

@@ -12,6 +12,11 @@ def _order(keys: list[str]):
     return Window.partitionBy(*keys).orderBy(F.coalesce("ts", F.lit(0.0)), "id")
 
 
+def place(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """The place of each message in its session, from 1, as `at`."""
+    return messages.withColumn("at", F.row_number().over(_order(keys)))
+
+
 def turn_index(messages: DataFrame, keys: list[str]) -> DataFrame:
     """User turns, numbered from 0."""
     users = messages.where(F.col("role") == "user")

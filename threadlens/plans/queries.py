@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import regexes as R
 from ..functions import text as T
 from ..functions.timestamps import format_timestamp, timestamp_epoch
-from ..operators import candidates, incremental, sessions, signals, windows
+from ..operators import candidates, commits, decisions, incremental, sessions, signals, skills, windows
 from ..operators.search import And, Near, Not, Or, Phrase, Term, matching_messages, search, search_enriched
 from .search_sql import ROLLUP_SQL, TIME_SQL, TOKENS_SQL, condition_sql, quoted, search_sql
 from .tables import MESSAGES_SQL, TOOLS, messages, table
@@ -383,3 +383,95 @@ def superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = candidates.latest(_candidate_log(spark, sf_dir))
     replaced = current.where("id % 4 = 0").select(F.col("id").alias("candidate_id"), (F.col("id") + 1).alias("replacement_id"))
     return candidates.superseded(current, replaced).select("id", "status", "replacement_id", "is_superseded")
+
+
+# Decisions and skills --------------------------------------------------------------------------------------------------------------
+
+
+# Messages of these tables hold no code, links or consequences, so splitting at sentence ends is the same there; tests cover the rest.
+@register(
+    rf"""WITH {MESSAGES_SQL}, s AS (SELECT id, list_filter(list_transform(regexp_extract_all(text, '[^\n\r.!?。！？;；]*[\n\r.!?。！？;；]?'), lambda x: trim(x, E' \n\t\r')), lambda x: x <> '') AS parts FROM m WHERE role IN ('user', 'assistant'))
+SELECT id, generate_subscripts(parts, 1)::INT - 1 AS ordinal, unnest(parts) AS segment FROM s"""
+)
+def decision_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.segments(messages(spark, sf_dir), KEYS).select("id", "ordinal", "segment")
+
+
+@register()
+def decision_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decisions.candidates(messages(spark, sf_dir), KEYS)
+    return found.select("decision_id", *KEYS, "at", "ordinal", F.array_join("options", "|").alias("options"), "chosen", "rationale", "confidence")
+
+
+@register()
+def decision_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = messages(spark, sf_dir)
+    return decisions.confirmations(m, decisions.candidates(m, KEYS), KEYS)
+
+
+@register()
+def decision_implementations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = messages(spark, sf_dir)
+    return decisions.implementations(m, decisions.candidates(m, KEYS), KEYS)
+
+
+@register(
+    rf"""WITH {MESSAGES_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY tool, session_id ORDER BY ts, id) AS pos FROM m),
+e AS (SELECT id AS evidence_id, tool, session_id, CASE WHEN id % 2 = 0 THEN 'explicit' ELSE 'transcript' END AS kind, CASE WHEN id % 5 = 0 THEN substr(text, 3, 6) WHEN id % 7 = 0 THEN text || '~' ELSE substr(text, 3, 40) END AS quote, CASE WHEN id % 3 = 0 THEN 0 WHEN id % 3 = 1 THEN pos ELSE pos + 1 END AS pos FROM p),
+l AS (SELECT *, length(trim(quote, E' 
+	
+')) >= 8 AS enough FROM e),
+h AS (SELECT evidence_id, bool_or(p.role = 'user') AS by_user FROM l JOIN p ON p.tool = l.tool AND p.session_id = l.session_id AND (l.pos = 0 OR l.pos = p.pos) AND contains(p.text, quote) WHERE enough GROUP BY evidence_id)
+SELECT evidence_id, CASE WHEN NOT enough THEN 'too_short' WHEN by_user IS NULL THEN 'not_found' WHEN kind = 'explicit' AND NOT by_user THEN 'wrong_role' ELSE 'ok' END AS outcome FROM l LEFT JOIN h USING (evidence_id)"""
+)
+def evidence_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes from all messages: some too short, some that nobody said, some pinned to the message after."""
+    m = messages(spark, sf_dir)
+    placed = windows.place(m, KEYS)
+    quote = F.when(F.col("id") % 5 == 0, F.substring("text", 3, 6)).when(F.col("id") % 7 == 0, F.concat("text", F.lit("~"))).otherwise(F.substring("text", 3, 40))
+    at = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 3 == 1, F.col("at")).otherwise(F.col("at") + 1)
+    asked = placed.select(F.col("id").alias("evidence_id"), *KEYS, F.when(F.col("id") % 2 == 0, "explicit").otherwise("transcript").alias("kind"), quote.alias("quote"), at.alias("at"))
+    return decisions.check_evidence(asked, m, KEYS)
+
+
+@register(
+    f"""WITH {MESSAGES_SQL} SELECT id, array_to_string(list(id) OVER (PARTITION BY tool, session_id ORDER BY ts, id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), '|') AS context FROM m"""
+)
+def judge_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.context(messages(spark, sf_dir), KEYS).select("id", F.array_join(F.col("context").cast("array<string>"), "|").alias("context"))
+
+
+@register(
+    """WITH w AS (SELECT o_orderkey AS decision_id, 'p' || o_custkey || CASE WHEN o_orderkey % 2 = 0 THEN '/s' || (o_orderkey % 9) ELSE '' END AS path FROM orders),
+c AS (SELECT 'h' || p_partkey AS hash, 'p' || p_partkey AS top, 'p' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '/s' || (p_partkey % 9) || '/f.py' END AS path FROM part)
+SELECT DISTINCT decision_id, hash FROM w JOIN c ON split_part(w.path, '/', 1) = c.top AND (w.path = c.path OR starts_with(c.path, w.path || '/') OR starts_with(w.path, c.path || '/'))"""
+)
+def commit_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as decisions on paths, parts as commits that touch paths."""
+    o, p = table(spark, sf_dir, "orders"), table(spark, sf_dir, "part")
+    wanted = F.concat(F.lit("./p"), "o_custkey", F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("/s"), F.col("o_orderkey") % 9)).otherwise(""))
+    touched = F.concat(F.lit("p"), "p_partkey", F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit("/s"), F.col("p_partkey") % 9, F.lit("/f.py"))))
+    return commits.path_overlaps(o.select(F.col("o_orderkey").alias("decision_id"), wanted.alias("path")), p.select(F.concat(F.lit("h"), "p_partkey").alias("hash"), touched.alias("path")))
+
+
+@register(
+    """WITH r AS (SELECT p_partkey, 'part-of-' || (p_partkey % 97) || 'x' AS base, row_number() OVER (PARTITION BY p_partkey % 97 ORDER BY p_partkey) AS nth FROM part)
+SELECT p_partkey, CASE WHEN base = 'part-of-5x' THEN base || '-' || (nth + 1 + (nth >= 2)::INT) WHEN nth = 1 THEN base ELSE base || '-' || nth END AS slug FROM r"""
+)
+def unique_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that share slugs; part-of-5x and part-of-5x-3 are taken already."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("part-of-"), F.col("p_partkey") % 97, F.lit("x")).alias("slug"))
+    return skills.unique_slugs(p, spark.createDataFrame([("part-of-5x",), ("part-of-5x-3",)], "slug string"), ["p_partkey"])
+
+
+@register()
+def skill_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = skills.bundles(messages(spark, sf_dir), KEYS)
+    return skills.markdown(skills.unique_slugs(found, spark.createDataFrame([], "slug string"), KEYS))
+
+
+@register(
+    f"""WITH {_LOG_SQL} SELECT id, CASE WHEN status IN ('approved', 'published') THEN 'accepted' WHEN status IN ('rejected', 'deferred') THEN status WHEN status IN ('draft', 'in_review') THEN 'draft' ELSE 'proposed' END AS state FROM latest"""
+)
+def decision_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return candidates.latest(_candidate_log(spark, sf_dir)).select("id", decisions.decision_state(F.col("status")).alias("state"))
