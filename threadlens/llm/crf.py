@@ -211,24 +211,28 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     drawn = (
         labels.select(labels[id_col].alias("label_id"), labels[label_col].cast("int").alias("label"))
         .where("label IN (0, 1) AND label_id IS NOT NULL")
+        .distinct()
         .orderBy(F.xxhash64("label_id"), "label_id", "label")
         .limit(limit)
     )
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(drawn), F.col("id") == F.col("label_id")).select("label", "text")
+    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(drawn), F.col("id") == F.col("label_id")).select("label_id", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for part in text_slices(batch.column("text")):
-                label = batch.column("label").slice(at, len(part))
+                label_id, label = (batch.column(c).slice(at, len(part)) for c in ("label_id", "label"))
                 at += len(part)
                 lines = line_features(part)
                 ends = np.cumsum(lines.per_text)
                 x = [lines.x[b - k : b].astype(np.float32).tobytes() for b, k in zip(ends, lines.per_text, strict=True)]
                 size = [lines.size[b - k : b].tobytes() for b, k in zip(ends, lines.per_text, strict=True)]
-                yield pa.RecordBatch.from_arrays([label, pa.array(x, pa.binary()), pa.array(size, pa.binary())], ["label", "x", "size"])
+                yield pa.RecordBatch.from_arrays([label_id, label, pa.array(x, pa.binary()), pa.array(size, pa.binary())], ["label_id", "label", "x", "size"])
 
-    rows = texts.mapInArrow(run, "label int, x binary, size binary").where(F.length("size") <= 8 * SAMPLE_LINES).collect()
+    id_type = texts.schema["label_id"].dataType.simpleString()
+    found = texts.mapInArrow(run, f"label_id {id_type}, label int, x binary, size binary").where(F.length("size") <= 8 * SAMPLE_LINES)
+    # One text for each label drawn, however many rows have its id.
+    rows = [r.one for r in found.groupBy("label_id", "label").agg(F.min(F.struct("label", "size", "x")).alias("one")).collect()]
     rows.sort(key=lambda r: (r.label, r["size"], r.x))
     per_text = np.array([len(r["size"]) // 8 for r in rows], int)
     x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, FEATURES).astype(float)
