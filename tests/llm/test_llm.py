@@ -14,7 +14,9 @@ from threadlens.llm.common import stage_path
 from threadlens.llm.components import connected_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, size string, id string"
+# With column names that operators use inside.
+CLASHING = ("key", "size", "id", "doc", "bucket", "taken", "component", "gone_id", "marked_id", "marked_chunks", "CUT_RESULT", "lookup_slot", "Lookup_Shard", "_lookup_slot")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 rng = random.Random(7)
 
 
@@ -28,8 +30,8 @@ TEXTS[5] = TEXTS[0]
 
 
 def table(spark, texts=TEXTS, sources=("b", "a", None)):
-    rows = [(i, t, "en", sources[i % len(sources)], len(t or ""), "k", "s", "i") for i, t in enumerate(texts)]
-    return spark.createDataFrame(rows, DOCS)  # with column names that operators use inside
+    rows = [(i, t, "en", sources[i % len(sources)], len(t or ""), *CLASHING) for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
 
 
 @pytest.fixture(scope="module")
@@ -78,6 +80,7 @@ def test_sharding(docs, empty):
     assert sum(a != b for a, b in zip(table_, fewer, strict=True)) < 50
     rows = sharding.assign_shards(docs, names, table_size=101).collect()
     for r in rows:
+        assert r.lookup_slot == "lookup_slot" and r.Lookup_Shard == "Lookup_Shard"
         assert r.slot == int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:15], 16) % 101 and r.shard == table_[r.slot]
     assert sharding.assign_shards(empty, names).count() == 0
     nulls = docs.withColumn("doc_id", F.lit(None).cast("long"))
@@ -159,7 +162,8 @@ def test_simhash(spark, docs, empty, tile):
         assert ours == brute_components(len(near), lambda i, j: (near[i] ^ near[j]).bit_count() <= 4)
     if tile == 4:
         assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
-        assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(label)
+        kept = simhash.keep_one(docs)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(label)
 
 
 @pytest.mark.parametrize("tile", [1024, 8])
@@ -225,6 +229,8 @@ def test_quality(spark, empty):
     assert all(judged[i].kept for i in range(120) if not judged[i].base_failed)
     for d in (quality_classifier.score(empty, model), quality_rules.judge(empty, model), quality_classifier.keep_good(empty, model)):
         assert d.count() == 0
+    many = docs.where("doc_id = 5").crossJoin(spark.range(500).select()).unionByName(docs.where("doc_id <> 5"))
+    assert len(crf.sample(many, labels.unionAll(labels))[1]) == 240  # repeated rows are one label each
     unfitted = quality_classifier.train(docs, labels.where("quality = 1"))
     assert {r.score for r in quality_classifier.score(docs, unfitted).collect()} == {0.5}
 
@@ -254,6 +260,7 @@ def test_chat(spark):
 def test_substrings(spark, docs, empty):
     rows = {r.doc_id: r for r in substring.dedup_substrings(docs).collect()}
     assert len(rows) == len(TEXTS) and rows[8].text == TEXTS[8]
+    assert all(rows[i][c] == c for i in (8, 9) for c in CLASHING)
     for i in (9, 10, 11):
         assert PASSAGE not in rows[i].text and len(rows[i].removed_spans) == 1
         a, b = rows[i].removed_spans[0]["start"], rows[i].removed_spans[0]["end"]

@@ -20,6 +20,8 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: The largest lookup table that is broadcast: under 2 MB.
 MAX_TABLE = 1 << 17
 
@@ -60,12 +62,13 @@ def slot_of(key: Column, table_size: int) -> Column:
 def assign_shards(docs: DataFrame, shards: Sequence[str], *, key_col: str = "doc_id", table_size: int = 65537) -> DataFrame:
     """Adds `slot` and `shard` (a place in `shards`) to every row."""
     owner = lookup_table(tuple(shards), table_size)
+    lookup_slot, lookup_shard = fresh(docs, "lookup_slot"), fresh(docs, "lookup_shard")
     slots = docs.sparkSession.range(table_size, numPartitions=1).select(
-        F.col("id").cast("int").alias("lookup_slot"),
-        F.element_at(F.split(F.lit(",".join(map(str, owner))), ","), (F.col("id") + 1).cast("int")).cast("int").alias("lookup_shard"),
+        F.col("id").cast("int").alias(lookup_slot),
+        F.element_at(F.split(F.lit(",".join(map(str, owner))), ","), (F.col("id") + 1).cast("int")).cast("int").alias(lookup_shard),
     )
     placed = docs.withColumn("slot", slot_of(F.col(key_col), table_size))
-    return placed.join(F.broadcast(slots), F.col("slot") == F.col("lookup_slot")).withColumn("shard", F.col("lookup_shard")).drop("lookup_slot", "lookup_shard")
+    return placed.join(F.broadcast(slots), F.col("slot") == F.col(lookup_slot)).withColumn("shard", F.col(lookup_shard)).drop(lookup_slot, lookup_shard)
 
 
 def write_shards(docs: DataFrame, shards: Sequence[str], path: str, *, key_col: str = "doc_id", table_size: int = 65537) -> None:

@@ -150,4 +150,4 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, radius=radius)
     gone = stage(found.where("id <> component").select(F.col("id").alias("gone_id")).distinct(), "gone")
-    return docs.join(gone, docs[id_col] == F.col("gone_id"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")

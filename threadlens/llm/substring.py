@@ -14,7 +14,7 @@ document, and texts are joined to them once, by id, and cut.
 Defined results: a null text stays null and an empty one empty; texts of any length are chunked as a whole; a digest that occurs
 twice at the same place of the same id (repeated rows) is one occurrence, so repeated rows keep their texts; documents without an id
 count as one with the least id, in which places that agree are not repeated; words are split at white space only, so text without any
-is one chunk; extra columns are kept; an empty table gives an empty result.
+is one chunk; extra columns are kept, but one named removed_spans is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_slices
+from .common import fresh, stage, text_slices
 
 #: One in so many words starts a chunk (a power of two), and the chunks that a digest covers.
 CHUNK_WORDS = 4
@@ -222,10 +222,11 @@ def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(spans, kind)], ["text", "spans"])
 
-    marks = chunks.select(F.col("id").alias("marked_id"), F.col("chunks").alias("marked_chunks")).hint("shuffle_hash")
-    joined = docs.select(*columns).join(marks, F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == F.col("marked_id"), "left")
+    marked_id, marked_chunks, result = (fresh(docs, c) for c in ("marked_id", "marked_chunks", "cut_result"))
+    marks = chunks.select(F.col("id").alias(marked_id), F.col("chunks").alias(marked_chunks)).hint("shuffle_hash")
+    joined = docs.select(*columns).join(marks, F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)) == F.col(marked_id), "left")
     # Texts without repeated chunks do not go through Python.
-    whole = joined.where("marked_chunks IS NULL").select(*columns, F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed_spans"))
-    changed = joined.where("marked_chunks IS NOT NULL").withColumn("cut_result", cut(F.col(text_col), F.col("marked_chunks")))
-    changed = changed.select(*[F.col("cut_result.text").alias(c) if c == text_col else F.col(c) for c in columns], F.col("cut_result.spans").alias("removed_spans"))
+    whole = joined.where(F.col(marked_chunks).isNull()).select(*columns, F.array().cast("array<struct<start:bigint,end:bigint>>").alias("removed_spans"))
+    changed = joined.where(F.col(marked_chunks).isNotNull()).withColumn(result, cut(F.col(text_col), F.col(marked_chunks)))
+    changed = changed.select(*[F.col(result)["text"].alias(c) if c == text_col else F.col(c) for c in columns], F.col(result)["spans"].alias("removed_spans"))
     return whole.unionAll(changed)
