@@ -32,6 +32,9 @@ from .common import text_slices
 MEMO_WORDS = 150_000
 MEMO_PAIRS = 200_000
 
+#: Texts are encoded in slices of about this many bytes; a slice's words are held as separate strings, some twenty times its size.
+SLICE_BYTES = 1 << 20
+
 #: Fixed value: how byte-level tokenizers cut a text into words.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -172,22 +175,28 @@ def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
-    """One row per document: `id`, `ids` (its tokens) and, on demand, `decoded` (the text that these tokens give)."""
+def encode_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, verify: bool = False) -> DataFrame:
+    """One row per document: `id`, `ids` (its tokens) and, on demand, `decoded` (the text that these tokens give) and `exact`.
+
+    With `verify`, each document is decoded where it was encoded and `exact` tells whether that gave its text, so no text is sent back.
+    """
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
+    names = ["id", "ids", *(["decoded"] if decode else []), *(["exact"] if verify else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer)
         for batch in batches:
             at = 0
-            for texts in text_slices(batch.column("text")):
+            for texts in text_slices(batch.column("text"), SLICE_BYTES):
                 ids, ends = bpe.encode(texts)
                 starts = [0, *ends]
                 columns = [batch.column("id").slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids))]
                 if decode:
                     columns.append(pa.array([bpe.decode(ids[a:b]) for a, b in zip(starts, ends, strict=False)], pa.string()))
+                if verify:
+                    columns.append(pa.array([bpe.decode(ids[a:b]).encode() == t for a, b, t in zip(starts, ends, texts, strict=False)], pa.bool_()))
                 at += len(texts)
-                yield pa.RecordBatch.from_arrays(columns, ["id", "ids", *(["decoded"] if decode else [])])
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    return rows.mapInArrow(run, f"id {id_type}, ids array<int>" + (", decoded string" if decode else ""))
+    return rows.mapInArrow(run, f"id {id_type}, ids array<int>" + (", decoded string" if decode else "") + (", exact boolean" if verify else ""))
