@@ -275,3 +275,22 @@ def test_substrings(spark, docs, empty):
     assert [r.text for r in substring.dedup_substrings(twice).where("doc_id = 1").collect()] == [TEXTS[1]] * 2
     moved = substring.chunk_starts([b"inserted words " + PASSAGE.encode()])[0] - 15
     assert len(set(moved.tolist()) & set(substring.chunk_starts([PASSAGE.encode()])[0].tolist())) >= len(moved) - 4
+
+
+def test_substrings_without_unique_ids(spark):
+    """Rows without an id and rows that share one are documents of their own, whatever their lengths."""
+    clean, whole = [words(n) for n in (300, 90, 40, 500)], words(50)
+    rows = [(None, f"{PASSAGE}\n{clean[0]}"), (None, f"{PASSAGE}\n{clean[1]}"), (None, None), (None, "x"), (None, whole), (None, whole)]
+    rows += [(7, clean[2]), (7, f"{clean[3]} {PASSAGE} {words(30)}"), (7, None), (7, "y"), (9, f"{words(80)} {PASSAGE}"), (9, words(25)), (9, clean[2])]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int").repartition(3)
+    got = {r.k: r for r in substring.dedup_substrings(docs).collect()}
+    assert len(got) == len(rows) and got[2].text is None and got[8].text is None and got[3].text == "x" and got[9].text == "y"
+    assert sum(PASSAGE in got[k].text for k in (0, 1)) == 1 and all(clean[k] in got[k].text for k in (0, 1))
+    assert sorted(got[k].text for k in (4, 5)) == ["", whole]  # copies, neither of which has an id
+    assert got[6].text == clean[2] and got[12].text == "" and got[11].text == rows[11][1]
+    assert PASSAGE not in got[7].text and got[7].text.startswith(clean[3][:-10]) and PASSAGE not in got[10].text
+    for k, r in got.items():
+        for span in r.removed_spans:
+            inside = rows[k][1][span["start"] : span["end"]].split()
+            known = {*PASSAGE.split(), *whole.split(), *clean[2].split()}
+            assert len(inside) >= substring.LEAST_WORDS and set(inside) <= known
