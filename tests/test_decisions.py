@@ -66,6 +66,20 @@ def test_decisions(spark):
     assert decisions.candidates(spark.createDataFrame([], MESSAGE), KEYS).count() == 0
 
 
+def test_noise_messages(spark):
+    """A message with a mark of noise goes as a whole, and the others keep their places."""
+    said = "We choose SQLite over Postgres because it is simple."
+    noise = [
+        f"{said} </proposed_plan> ok", f"{said}\n[bash-stdout] x", f"{said}\nSee <instructions> here.", f"{said}\n# AGENTS.md for this", f"{said}\n  ignore previous words",
+        f" \u00a0tool.call x\n{said}", f"<tool run>\n{said}", f"[/tool:x]\n{said}", "WE CHOOSE SQLITE OVER POSTGRES: IT IS SIMPLE", "DO CHOOSE SQLITE OVER POSTGRES NOW",
+    ]
+    plain = [said, f"{said} AGENTS.md is read.", f"{said}\nA tool.call is made.", "CHOOSE SQLITE OVER POSTGRES NOW", "USE SQL: NOW", f"AN API: {said}"]
+    talk = made(spark, [("a", "user", t) for pair in zip(noise, [*plain, *plain], strict=False) for t in pair])
+    found = decisions.segments(talk, KEYS).collect()
+    assert {r.at for r in found} == {2 * k + 2 for k in range(len(noise))}
+    assert {r.at for r in decisions.candidates(talk, KEYS).collect()} == {2, 4, 6, 8, 12, 14, 16, 18, 20}
+
+
 def test_evidence(spark):
     talk = made(spark, [("a", "user", "the quick brown fox"), ("a", "assistant", "jumps over the dog")])
     asked = [(1, "transcript", "quick brown", 1, "ok"), (2, "transcript", "quick brown", 2, "not_found"), (3, "explicit", "jumps over", 0, "wrong_role"), (4, "explicit", "quick brown", 0, "ok"), (5, "transcript", " short ", 0, "too_short"), (6, "test", "never said so", 0, "not_found"), (7, "test", None, None, "too_short")]

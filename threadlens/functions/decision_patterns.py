@@ -28,6 +28,10 @@ NEGATIVE_USE = r"(?is)^\s*(?:do not|don't|never|not|without)\s+use\b|\b(?:do not
 PROGRESS_NOISE = r"(?i)\b(?:i['’]?m|i am)\s+(?:pulling|reading|checking|inspecting|reviewing|verifying|confirming|comparing|collecting|gathering|looking(?:\s+at)?)\b|\bi\s+want\s+to\s+be\s+precise\b|(?:我|我们)(?:正在|在)(?:拉取|读取|检查|核对|审查|验证|确认|比较|收集|查看)"
 QUESTION_WORDS = r"(?i)\b(?:should we|which|what should|how should we)\b|是否|哪个方案|怎么选|如何选择"
 NOISE_TAG = r"(?is)<\/?(?:skill|subagent_notification|external_agent_tool_call|environment_context|proposed_plan|system(?:-reminder)?|user_info|developer(?:_context)?)\b|\[/?(?:external_agent_tool_call|subagent_notification|bash-(?:stdout|stderr))\]"
+#: Messages that match one of these, or NOISE_TAG, are left out as a whole.
+XML_NOISE = r"(?is)<(?:environment_context|system(?:-reminder)?|user_info|developer(?:_context)?|instructions?)\b"
+AGENTS_NOISE = r"(?im)(?:^|\n)\s*(?:#\s*)?(?:AGENTS(?:\.md)?|system instructions?|developer instructions?|ignore previous|you are an ai)\b"
+LOOP_EVENT_NOISE = r"(?is)^\s*(?:tool[._-](?:call|result)\b|<tool(?:[ ._:-]|>)|\[/?tool(?:[ ._:-]|>))"
 PROMPT = r"(?i)\b(?:only give|return only|output only|do not modify|don't modify|just answer|please inspect|key files?|focus on|must list|expected outcome|task|automation|context from my ide setup|system instructions?|developer instructions?)\b|只给|只返回|只接受|不要修改|请重点检查|关键文件|已验证|输出格式|任务|自动化|上下文"
 CHOICE_LABEL = r"(?i)\b(?:approved|changes_requested|pass|fail|yes|no)\s*(?:or|/|、|或)\s*\b(?:approved|changes_requested|pass|fail|yes|no)\b"
 PLAN = r"(?i)\b(?:next step|next|then|after that|later|i['’]?ll|i will|we['’]?ll|we will|going to|plan to|intend to|let me|todo|to do|first .* then)\b|下一步|接下来|然后|之后|稍后|我会|我们会|计划|打算|先.*再|待办"

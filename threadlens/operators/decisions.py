@@ -40,9 +40,22 @@ def sentences(text: Column) -> Column:
     return F.when(T.matches(T.trim_white(text), P.HEADING), F.array(T.trim_white(text))).otherwise(parts)
 
 
+def is_all_caps(text: Column) -> Column:
+    """Whether a text reads as an instruction in capitals: 12 letters or more, 85 of 100 upper-case, and a mark or word of command."""
+    letters, upper = (F.regexp_count(text, F.lit(p)) for p in (r"\p{L}", r"\p{Lu}"))
+    return (letters >= 12) & (upper * 100 >= letters * 85) & (text.rlike(r"[:!\n]") | T.starts_with_any(text, ["DO ", "MUST "]))
+
+
+def is_noise_message(text: Column) -> Column:
+    """Whether a whole message is no part of the talk: injected texts, tool events and instructions to agents."""
+    trimmed = F.regexp_replace(text, f"^{T.WHITE}+", "")
+    noise = T.is_noise(text) | T.matches(text, P.NOISE_TAG) | T.matches(trimmed, P.LOOP_EVENT_NOISE)
+    return noise | T.matches(trimmed, P.XML_NOISE) | T.matches(trimmed, P.AGENTS_NOISE) | is_all_caps(trimmed)
+
+
 def segments(messages: DataFrame, keys: list[str]) -> DataFrame:
     """One row per sentence of user and assistant messages: `at` (place of the message in its transcript, from 1), `ordinal`, `segment`."""
-    placed = place(messages, keys).where(F.lower("role").isin("user", "assistant") & ~T.is_noise(F.col("text")))
+    placed = place(messages, keys).where(F.lower("role").isin("user", "assistant") & ~is_noise_message(F.col("text")))
     return placed.select(*keys, "id", "at", F.lower("role").alias("role"), F.posexplode(sentences(F.col("text"))).alias("ordinal", "segment"))
 
 
