@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from threadlens.llm import bpe, chat, crf, embedding_dedup, materialize, mixing, quality_classifier, quality_rules, sharding, simhash, substring
 from threadlens.llm.common import stage_path
 from threadlens.llm.components import connected_components
@@ -294,3 +295,32 @@ def test_substrings_without_unique_ids(spark):
             inside = rows[k][1][span["start"] : span["end"]].split()
             known = {*PASSAGE.split(), *whole.split(), *clean[2].split()}
             assert len(inside) >= substring.LEAST_WORDS and set(inside) <= known
+
+
+def test_near_copies(spark, empty):
+    """Copies at similarities around 0.8 to 1, against brute force; ids may be null or repeated."""
+    made = [words(200) for _ in range(12)]
+    for text in made[:10]:
+        for changes in (1, 2, 3, 4, 5):
+            w = text.split()
+            for at in rng.sample(range(200), changes):
+                w[at] = words(1) + "z"
+            made.append(" ".join(w))
+    made += [made[3].upper(), made[3], "", " ", None, "one two", "one  TWO"]
+    sets = []
+    for t in made:
+        w = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    like = [[len(a & b) / len(a | b) for b in sets] for a in sets]
+    assert sum(0.8 <= x < 0.9 for r in like for x in r) >= 40 and sum(0.6 < x < 0.8 for r in like for x in r) >= 10
+    label = brute_components(len(made), lambda i, j: like[i][j] >= 0.8)
+    ids = [None if k % 3 == 1 else k - k % 2 for k in range(len(made))]
+    for some in (list(range(len(made))), ids):
+        docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(zip(some, made, strict=True))], "doc_id long, text string, row_number int").repartition(3)
+        kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+        assert kept.columns == docs.columns
+        got = [r.row_number for r in kept.collect()]
+        assert sorted(label[k] for k in got) == sorted(set(label))
+        if some is not ids:
+            assert set(got) == set(label)
+    assert corpus_pipeline.drop_near_copies(spark, empty, "").count() == 0
