@@ -7,7 +7,8 @@ A log has events of a conversation in the order of `seq`:
 * edit: replaces its text;
 * regenerate: empties it, or sets it to the event's text; deltas that follow build it anew.
 
-fold_events() groups by conversation and message, sorts the events and folds them. render() ranges the messages over partitions by
+fold_events() sorts the events of each message and folds them: windows number the openings and restarts, and the pieces of the last run
+are joined once, so many deltas cost no more than their length. render() ranges the messages over partitions by
 conversation and position, so even one conversation with a third of all rows is spread, and writes each run of a conversation within
 a partition as blocks of bounded size. A conversation's formatted text is its blocks, one after another.
 
@@ -33,12 +34,11 @@ from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import pyarrow.parquet as pq
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import open_folder, stage
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -81,19 +81,18 @@ def parse(block: str) -> list[tuple[str, str, int, int]]:
 
 def fold_events(events: DataFrame) -> DataFrame:
     """From events (conv_id, message_id, seq, kind, role, text): messages (conv_id, turn, role, text), turn being the least seq."""
-    event = F.struct("seq", F.when(F.col("kind") == "message", 0).otherwise(1).alias("later"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "kind")
-    logs = events.groupBy("conv_id", "message_id").agg(F.array_sort(F.collect_list(event)).alias("log"))
-    message = "array<struct<turn:bigint,role:string,text:string>>"
-
-    def step(done: Column, e: Column) -> Column:
-        last = F.when(F.size(done) > 0, F.element_at(done, -1))
-        opened = F.struct(e["seq"].cast("long").alias("turn"), e["role"].alias("role"), e["text"].alias("text"))
-        appended = F.when(e["kind"] == "delta", F.concat(last["text"], e["text"])).otherwise(e["text"])
-        changed = F.struct(last["turn"].alias("turn"), last["role"].alias("role"), appended.alias("text"))
-        return F.when((e["kind"] == "message") | (F.size(done) == 0), F.concat(done, F.array(opened))).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(changed)))
-
-    folded = F.aggregate("log", F.array().cast(message), step)
-    return logs.select("conv_id", F.explode(folded).alias("m")).select("conv_id", "m.*")
+    e = events.select("conv_id", "message_id", F.col("seq").cast("long").alias("seq"), "kind", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    opens = (F.col("kind") == "message").eqNullSafe(F.lit(True))
+    order = Window.partitionBy("conv_id", "message_id").orderBy("seq", (~opens).cast("int"), "role", "text", "kind")
+    e = e.withColumn("place", F.row_number().over(order))
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.col("place") == 1
+    # A message's text is what its last opening, edit or regeneration says and the deltas after that.
+    e = e.withColumns({"opened": F.sum((opens | first).cast("int")).over(upto), "restart": F.sum(((F.col("kind") != "delta").eqNullSafe(F.lit(True)) | first).cast("int")).over(upto)})
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda p: p["text"]), "")
+    runs = e.groupBy("conv_id", "message_id", "opened", "restart").agg(F.min("seq").alias("turn"), F.min_by("role", "place").alias("role"), said.alias("text"))
+    folded = runs.groupBy("conv_id", "message_id", "opened").agg(F.min("turn").alias("turn"), F.min_by("role", "restart").alias("role"), F.max_by("text", "restart").alias("text"))
+    return folded.select("conv_id", "turn", "role", "text")
 
 
 def render(messages: DataFrame, *, partitions: int | None = None) -> DataFrame:
@@ -212,7 +211,7 @@ def read_back(blocks: DataFrame) -> DataFrame:
 
 def _blocks_in(file: str, conv: int | None) -> Iterator[tuple[str, list[int], list[int]]]:
     """The blocks of a conversation in one file, in order: a file holds one part, whose blocks are in order."""
-    fs, path = pafs.FileSystem.from_uri(unquote(file) if file.startswith("file:") else file)
+    fs, path = open_folder(unquote(file) if file.startswith("file:") else file)
     with fs.open_input_file(path) as f:
         source = pq.ParquetFile(f)
         column = source.schema_arrow.get_field_index("conv_id")

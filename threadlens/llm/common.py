@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word: a run of characters other than space and U+0009 to U+000D.
@@ -29,9 +30,11 @@ def fresh(docs: DataFrame, name: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only in local mode may it be unset; it is a temporary one then."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='threadlens-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -59,6 +62,17 @@ def drop_stage(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system and path behind a URI; schemes that pyarrow does not know itself are left to Hadoop's client library."""
+    scheme, _, rest = uri.partition("://")
+    if not rest or scheme in ("file", "s3", "gs", "hdfs", "abfs", "abfss"):
+        return pafs.FileSystem.from_uri(uri)
+    if scheme in ("s3a", "s3n"):
+        return pafs.FileSystem.from_uri(f"s3://{rest}")
+    host, _, path = rest.partition("/")
+    return pafs.HadoopFileSystem(f"{scheme}://{host}"), f"/{path}"
+
+
 def text_slices(texts: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[list[bytes]]:
     """The texts as UTF-8, null as empty, in consecutive lists of about max_bytes; one longer text stands alone."""
     held: list[bytes] = []

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import BYTE_LEVEL_PATTERN
-from .common import text_slices
+from .common import open_folder, text_slices
 
 #: Written for a null document id.
 NO_ID = -(1 << 63)
@@ -119,7 +119,7 @@ def write_shards(
     vocab = _encoding(tokenizer).n_vocab
     wide = "<u2" if vocab < 1 << 16 else "<u4"
     manifest = {"sequences": n, "length": length, "shard_slots": shard_slots, "key": key, "token": wide, "end": vocab, "stride": 16 + length * np.dtype(wide).itemsize, "shards": -(-n // shard_slots)}
-    fs, root = pafs.FileSystem.from_uri(path)
+    fs, root = open_folder(path)
     fs.create_dir(root, recursive=True)
     note = f"{root}/manifest.json"
     if resume and fs.get_file_info(note).is_file:
@@ -167,7 +167,7 @@ def write_shards(
             raise RuntimeError("the rows of a partition changed between the two passes; stage() the table first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(path)
+        fs, root = open_folder(path)
         padding = np.full(length, vocab, wide).tobytes()
         out, name, next_slot, last_slot = None, "", 0, 0
         for batch in batches:
@@ -201,7 +201,7 @@ def write_shards(
 
 def read_shards(spark: SparkSession, path: str, slots: tuple[int, int] | None = None) -> DataFrame:
     """The sequences in training order within each shard: slot, shard, doc_id, part, n_tokens and tokens; `slots` is a half-open range."""
-    fs, root = pafs.FileSystem.from_uri(path)
+    fs, root = open_folder(path)
     with fs.open_input_stream(f"{root}/manifest.json") as f:
         m = json.loads(f.read())
     low, high = slots or (0, m["sequences"])
@@ -209,7 +209,7 @@ def read_shards(spark: SparkSession, path: str, slots: tuple[int, int] | None =
     kind = np.dtype([("id", "<i8"), ("part", "<i4"), ("n", "<i4"), ("tokens", m["token"], (m["length"],))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(path)
+        fs, root = open_folder(path)
         for batch in batches:
             for shard in batch.column("id").to_pylist():
                 start = shard * m["shard_slots"]
