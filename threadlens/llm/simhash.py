@@ -3,13 +3,14 @@
 Fingerprints are compared exactly, in tiles: numpy exclusive-or and bit counts of the rows of one tile against another's. Tile pairs
 whose numbers of one bits differ by more than the radius are skipped, as such rows differ in more bits than that.
 
-Comparing all tiles with all others would take the square of the corpus. The 64 bits are therefore cut into BLOCKS pieces: two
-fingerprints within the radius agree in at least BLOCKS - RADIUS of them, so only fingerprints that agree in such a choice of pieces
-meet in a tile. That loses no pair. With 5 pieces one agreement of 12 or 13 bits is asked for, with 6 pieces two (21 bits).
+Comparing all tiles with all others would take the square of the corpus. The 64 bits are therefore cut into five pieces: two
+fingerprints within the radius agree in at least one of them, so only fingerprints that agree in a piece (12 or 13 bits) meet. That
+loses no pair. A piece's value that more than TILE rows share is split further: the bits outside the piece are cut into five parts of
+their own, and only rows that agree in one of these too (some 23 bits together) meet, which loses no pair either.
 
-Equal fingerprints are one row from the start. A choice of pieces that more than TILE rows share is dealt to tiles by bit count
-and, within a bit count, by hash; each pair of tiles is then a unit of work of its own. A tile pair emits only links that join parts
-of it not joined before, and components (components.py) are found over all of these.
+Equal fingerprints are one row from the start. What more than TILE rows share even then is dealt to tiles by bit count and, within
+a bit count, by hash; each pair of tiles is then a unit of work of its own. A tile pair emits only links that join parts of it not
+joined before, and components (components.py) are found over all of these.
 
 Defined results: a null text or one without words has fingerprint zero, which is linked like any other; a null id takes part, but is
 no component's name unless all ids of the component are null; repeated rows are in one component; extra columns are ignored by
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import stage, text_slices
 from .components import connected_components
-from .tiles import Spanning, groups
+from .tiles import Spanning, close_rows, groups
 
 SHINGLE = 4
 SEED = 42
@@ -38,9 +39,6 @@ RADIUS = 4
 #: Rows of a tile.
 TILE = 2048
 
-#: Up to this many distinct fingerprints, 5 pieces are used, beyond it 6.
-FIVE_BLOCKS_UPTO = 1 << 25
-
 
 def fingerprint(text: bytes) -> int:
     """A bit is 1 if it is set in over half of the shingles' XXH64 hashes."""
@@ -56,11 +54,16 @@ def fingerprint(text: bytes) -> int:
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[: n - SHINGLE + 1].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)]
-    raw = np.array(hashes, np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(raw), 1 << 16):
-        ones += np.unpackbits(raw[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
+    return int(majority(np.array(hashes, np.uint64)[:, None])[0])
+
+
+def majority(hashes: np.ndarray) -> np.ndarray:
+    """For each column of 64-bit hashes, the number whose bits are set in over half of the rows."""
+    ones = np.zeros(64 * hashes.shape[1], np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        some = np.ascontiguousarray(hashes[at : at + (1 << 16)])
+        ones += np.unpackbits(some.view(np.uint8).reshape(len(some), -1), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,17 +84,29 @@ def pieces(blocks: int) -> list[int]:
     return [(1 << b) - (1 << a) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def parts_outside(mask: int, n: int) -> list[int]:
+    """Masks of the bits outside `mask`, cut into n parts of nearly equal width."""
+    bits = [b for b in range(64) if not mask >> b & 1]
+    return [sum(1 << int(b) for b in part) for part in np.array_split(bits, n)]
+
+
 def _signed(n: int) -> int:
     return n - (1 << 64) if n >= 1 << 63 else n
 
 
 def close_links(fps: DataFrame, *, radius: int = RADIUS, tile: int = TILE, blocks: int = 5) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints `fp` with a path of steps of at most `radius` bits."""
-    masks = pieces(blocks)
-    chosen = [sum(c) for c in combinations(masks, blocks - radius)]
-    keyed = fps.select("fp", F.bit_count("fp").alias("ones"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in chosen])).alias("choice", "bits"))
-    keyed = keyed.select("fp", "ones", F.xxhash64("choice", "bits").alias("key"))
-    by_ones = keyed.groupBy("key", "ones").count()
+    chosen = [sum(c) for c in combinations(pieces(blocks), blocks - radius)]
+    first = fps.select("fp", F.bit_count("fp").alias("ones"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in chosen])).alias("choice", "bits"))
+    first = first.select("fp", "ones", "choice", F.xxhash64("choice", "bits").alias("key"))
+    hot = stage(first.groupBy("key").count().where(F.col("count") > tile).select("key", F.lit(True).alias("hot")), "hot-keys")
+    first = first.join(hot, "key", "left")
+    # The bits outside a choice again differ in at most `radius` places, so two near rows agree in one of radius + 1 parts of them.
+    outside = F.array(*[F.array(*[F.lit(_signed(m)) for m in parts_outside(c, radius + 1)]) for c in chosen])
+    second = first.where("hot").select("fp", "ones", "key", F.posexplode(F.get(outside, F.col("choice"))).alias("part", "mask"))
+    second = second.select("fp", "ones", F.xxhash64("key", "part", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"))
+    keyed = first.where("hot IS NULL").select("fp", "ones", "key").unionAll(second)
+    by_ones = second.groupBy("key", "ones").count()
     large = stage(
         by_ones.groupBy("key").agg(F.sum("count").alias("n"), F.collect_list(F.struct("ones", F.ceil(F.col("count") / tile).cast("int").alias("parts"))).alias("counts")).where(F.col("n") > tile).select("key", "counts"),
         "large-keys",
@@ -110,18 +125,11 @@ def close_links(fps: DataFrame, *, radius: int = RADIUS, tile: int = TILE, block
             fp = group.column("fp").to_numpy().view(np.uint64)
             side = group.column("side").to_numpy()
             across = group.column("lo")[0] != group.column("hi")[0]
-            ones = np.bitwise_count(fp)
-            order = np.lexsort((ones, side))
-            fp, side, ones = fp[order], side[order], ones[order].astype(int)
-            left = int((side == 0).sum()) if across else 0
+            order = np.lexsort((np.bitwise_count(fp), side))
+            fp, side = fp[order], side[order]
             joined = Spanning(len(fp))
-            for start in range(left, len(fp), 256):
-                block = fp[start : start + 256]
-                found = np.bitwise_count(block[:, None] ^ (fp[:left] if across else fp[: start + len(block)])[None, :]) <= radius
-                if not across:
-                    found &= np.arange(found.shape[1])[None, :] < np.arange(start, start + len(block))[:, None]
-                for r in np.flatnonzero(found.any(1)).tolist():
-                    joined.add(start + r, np.flatnonzero(found[r]))
+            for i, others in close_rows(fp[:, None], int((side == 0).sum()) if across else 0, across, radius):
+                joined.add(i, others)
             if joined.kept:
                 pairs = np.array(joined.kept)
                 signed = fp.view(np.int64)
@@ -135,8 +143,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """One row per document: `id`, `fp` and `component`, the smallest id reachable over links."""
     marked = stage(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
     classes = stage(marked.groupBy("fp").agg(F.min("id").alias("first")), "classes")
-    blocks = 5 if classes.count() <= FIVE_BLOCKS_UPTO else 6
-    linked = connected_components(close_links(classes, radius=radius, blocks=blocks))
+    linked = connected_components(close_links(classes, radius=radius, blocks=radius + 1))
     rooted = stage(classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("root")), "rooted")
     least = stage(rooted.groupBy("root").agg(F.min("first").alias("component")), "least")
     named = stage(rooted.join(least, "root").select("fp", "component"), "named")
