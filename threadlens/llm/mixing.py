@@ -27,6 +27,9 @@ from .common import WORD, stage
 #: Characters that mark junk; their share lowers a document's quality weight.
 JUNK = "#*$%&|<>!{}[]=_~^\\@"
 
+#: The order within a source, with the size last.
+ORDER = ("key", "id")
+
 #: Quality weights lie between this and 1.
 LEAST_WEIGHT = 0.25
 
@@ -108,17 +111,23 @@ def _source_plan(keyed: DataFrame, weights: Sequence[int], total_share: float, m
     )
 
 
-def _take(keyed: DataFrame, plan: DataFrame) -> DataFrame:
-    """Adds source_size, target and taken to rows with source, size, key, bucket and order."""
+def _take(keyed: DataFrame, plan: DataFrame, row: str | None = None) -> DataFrame:
+    """Adds source_size, target and taken to rows with source, size, key and bucket.
+
+    With `row`, the name of a column of row numbers, the running sums are taken without the other columns and joined to them.
+    """
     rows = keyed.join(plan, keyed["source"].eqNullSafe(plan["s"]))
     whole = F.col("epochs") * F.col("size")
     at_end = F.col("bucket").eqNullSafe(F.col("end_bucket"))
     clear = rows.where(~at_end).withColumn("taken", whole + F.when(F.col("end_bucket").isNull() | (F.col("bucket") < F.col("end_bucket")), F.col("size")).otherwise(F.lit(0)))
-    so_far = Window.partitionBy("source").orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy("source").orderBy(*ORDER, "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.col("end_before") + F.coalesce(F.sum("size").over(so_far), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - before))
-    split = rows.where(at_end).withColumn("taken", whole + part)
-    return clear.unionByName(split)
+    if row is None:
+        return clear.unionByName(rows.where(at_end).withColumn("taken", whole + part))
+    ends = rows.where(at_end)
+    split = ends.select(row, *ORDER, "source", "size", "epochs", "quota", "end_before").withColumn("taken", whole + part).select(F.col(row).alias("split_row"), "taken")
+    return clear.unionByName(ends.join(split, F.col(row) == F.col("split_row")).drop("split_row"))
 
 
 def _keyed(text: Column, doc_id: Column, source: Column, seed: str, buckets: int, *more: Column):
@@ -174,8 +183,10 @@ def mix_documents(
     """The mixed documents with all their columns: a row for each time a document is taken, the last one cut where the budget ends."""
     columns = docs.columns
     keyed = _keyed(F.col(text_col), F.col(id_col), F.col(source_col), seed, buckets, F.struct(*[docs[c] for c in columns]).alias("doc"))(docs)
-    plan = stage(_source_plan(keyed.drop("doc"), weights, total_share, max_epochs), "mix-plan")
-    taken = _take(keyed, plan).where("taken > 0").select("doc", "size", "taken")
+    # Texts are counted once and kept beside what was counted, so the plan and the running sums read narrow columns only.
+    keyed = stage(keyed.withColumn("row", F.monotonically_increasing_id()), "mix-documents")
+    plan = stage(_source_plan(keyed.select("source", "bucket", "size"), weights, total_share, max_epochs), "mix-plan")
+    taken = _take(keyed, plan, "row").where("taken > 0").select("doc", "size", "taken")
     copies = taken.select("doc", "size", F.explode(F.sequence(F.col("taken"), F.lit(1).cast("long"), -F.col("size"))).alias("left"))
     text = F.col("doc")[text_col]
     cut = F.when(F.col("left") < F.col("size"), first_words(text, F.col("left"))).otherwise(text)
@@ -214,6 +225,6 @@ planned AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM targets)
 SELECT doc_id, size, source_size, target,
   (epochs * size + greatest(0, least(size, floor(target)::BIGINT - epochs * source_size
-    - coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)))::BIGINT AS taken
-FROM keyed JOIN planned USING (source)
+    - coalesce(sum(size) OVER (PARTITION BY keyed.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)))::BIGINT AS taken
+FROM keyed JOIN planned ON keyed.source IS NOT DISTINCT FROM planned.source
 """
