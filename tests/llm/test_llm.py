@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from threadlens.llm import bpe, chat, crf, embedding_dedup, materialize, mixing, quality_classifier, quality_rules, sharding, simhash, substring
+from threadlens.llm import bpe, chat, crf, embedding_dedup, materialize, mixing, near_copies, quality_classifier, quality_rules, sharding, simhash, substring
 from threadlens.llm.common import stage_path
 from threadlens.llm.components import connected_components
 
@@ -183,6 +183,21 @@ def test_embeddings(spark, tile):
     assert all((got[i].n_links, got[i].component) == (0, i) for i in range(82, len(v)))
 
 
+def test_embeddings_of_any_size_and_id(spark):
+    """Doubles whose squares over- or underflow, and rows without an id or that share one."""
+    small, large = [5e-324, 1e-320, 0.0], [1e300, 2e303, 0.0]
+    rows = [(1, small), (2, [2 * c for c in small]), (3, large), (4, [c / 4 for c in large]), (None, [1.0, 0.0, 0.0]), (None, [1.0, 0.0, 0.0]), (5, [1.0, 0.1, 0.0]), (6, [0.0, 0.0, 1.0]), (6, [0.0, 0.0, -1.0]), (8, [0.0, 0.0, -2.0])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    unit = [np.array(v) / max(map(abs, v)) for _, v in rows]
+    near = [[float(a @ b / np.sqrt(a @ a) / np.sqrt(b @ b)) >= 0.95 for b in unit] for a in unit]
+    label = brute_components(len(rows), lambda i, j: near[i][j])
+    want = []
+    for i, (name, _) in enumerate(rows):
+        named = [rows[k][0] for k in range(len(rows)) if label[k] == label[i] and rows[k][0] is not None]
+        want.append((name or 0, sum(near[i]) - 1, min(named, default=0)))
+    assert sorted((r.id or 0, r.n_links, r.component or 0) for r in got) == sorted(want)
+
+
 def test_embeddings_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
@@ -232,6 +247,8 @@ def test_quality(spark, empty):
         assert d.count() == 0
     many = docs.where("doc_id = 5").crossJoin(spark.range(500).select()).unionByName(docs.where("doc_id <> 5"))
     assert len(crf.sample(many, labels.unionAll(labels))[1]) == 240  # repeated rows are one label each
+    bounded = crf.sample(docs, labels, total_lines=100)[0]
+    assert 50 < bounded.per_text.sum() <= 100
     unfitted = quality_classifier.train(docs, labels.where("quality = 1"))
     assert {r.score for r in quality_classifier.score(docs, unfitted).collect()} == {0.5}
 
@@ -317,7 +334,7 @@ def test_near_copies(spark, empty):
     ids = [None if k % 3 == 1 else k - k % 2 for k in range(len(made))]
     for some in (list(range(len(made))), ids):
         docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(zip(some, made, strict=True))], "doc_id long, text string, row_number int").repartition(3)
-        kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+        kept = corpus_pipeline.drop_near_copies(spark, docs, "") if some is ids else near_copies.keep_one(docs, tile=8)
         assert kept.columns == docs.columns
         got = [r.row_number for r in kept.collect()]
         assert sorted(label[k] for k in got) == sorted(set(label))

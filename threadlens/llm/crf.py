@@ -16,14 +16,15 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import stage, text_slices
 
-#: Labelled documents that a model is fitted on, at most, and the most lines that one of these may have.
+#: Labelled documents that a model is fitted on, at most; the most lines that one of these may have; the most lines of all together.
 SAMPLE_DOCUMENTS = 4000
 SAMPLE_LINES = 2000
+SAMPLE_TOTAL_LINES = 300_000
 
 #: Byte classes: 0 lower case and beyond ASCII, 1 upper case, 2 digits, 3 white space, 4 junk symbols, 5 ! and ?, 6 others.
 _CLASSES = np.zeros(256, np.int64)
@@ -206,8 +207,8 @@ def fit(lines: Lines, labels: np.ndarray, steps: int = 250, penalty: float = 1e-
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = SAMPLE_DOCUMENTS) -> tuple[Lines, np.ndarray]:
-    """Line features and labels of at most `limit` labelled documents, drawn evenly by a hash of their ids."""
+def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = SAMPLE_DOCUMENTS, total_lines: int = SAMPLE_TOTAL_LINES) -> tuple[Lines, np.ndarray]:
+    """Line features and labels of at most `limit` labelled documents and `total_lines` lines, drawn evenly by a hash of the ids."""
     drawn = (
         labels.select(labels[id_col].alias("label_id"), labels[label_col].cast("int").alias("label"))
         .where("label IN (0, 1) AND label_id IS NOT NULL")
@@ -231,8 +232,11 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
 
     id_type = texts.schema["label_id"].dataType.simpleString()
     found = texts.mapInArrow(run, f"label_id {id_type}, label int, x binary, size binary").where(F.length("size") <= 8 * SAMPLE_LINES)
-    # One text for each label drawn, however many rows have its id.
-    rows = [r.one for r in found.groupBy("label_id", "label").agg(F.min(F.struct("label", "size", "x")).alias("one")).collect()]
+    # One text for each label drawn, however many rows have its id; of these, in the order drawn, as many as the driver has room for.
+    ones = stage(found.groupBy("label_id", "label").agg(F.min(F.struct("label", "size", "x")).alias("one")), "sample")
+    drawn_order = Window.orderBy(F.xxhash64("label_id"), "label_id", "label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    room = ones.select("label_id", "label", F.sum(F.length("one.size") / 8).over(drawn_order).alias("lines")).where(F.col("lines") <= total_lines)
+    rows = [r.one for r in ones.join(room.select("label_id", "label"), ["label_id", "label"], "left_semi").select("one").collect()]
     rows.sort(key=lambda r: (r.label, r["size"], r.x))
     per_text = np.array([len(r["size"]) // 8 for r in rows], int)
     x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(-1, FEATURES).astype(float)
