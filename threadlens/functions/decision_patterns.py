@@ -55,3 +55,11 @@ GENERIC_TOKENS = ["the", "and", "for", "with", "from", "that", "this", "use", "u
 LEAST_TOKEN, LEAST_SEGMENT, LEAST_QUOTE, CHOICE_CHARS = 4, 8, 8, 120
 CHOICE_EDGES = "`\"'“”‘’()[]{}:：,，;；"
 CONFIRM_WITHIN, IMPLEMENT_WITHIN, ADMITTED_FROM = 3, 4, 0.62
+
+# What is too general, or a clause and no name, to be a choice.
+GENERIC_CHOICE_PREFIX = r"(?i)^(?:a|an|the|this|that|it|one|some|any|no|not)\s+"
+GENERIC_CHOICE = r"(?i)^(?:a|an|the|this|that|it|one|case|path|option|choice|solution|approach|method|way|prefix|thing|something|anything|nothing|no|not|不再|http|https?|json|api|url|token|response|request|data|annotation)$|^(?:this|that|the)\s+(?:path|option|choice|case|way)$|^(?:这个|那个|此|该)?(?:路径|方案|选项|选择|用例|案例)$"
+CHOICE_CLAUSE = r"(?i)\b(?:because|since|due to|so that|could|might|should|would|will|can|want|need|try|using|use|uses|is|are|was|were|be|returns?|resolves?|passes?|fails?|missing|required?|rather|instead|while|which|that)\b|(?:因为|由于|为了|可保留|或改|等(?:工具|方式|方法|流程|技能)|而且|但是|因此|所以|以及|而|但)"
+CHOICE_PRONOUN = r"(?i)^(?:it|this|that|these|those|them|they|he|she|we|you|me|us)(?:\s+(?:up|down|out|in|on|off|over|there|here))?$"
+TOOL_META_CHOICE = r"(?i)\bskills?\b|技能"
+USABLE_CHOICE_CHARS, RELATED_WITHIN = 80, 2

@@ -85,5 +85,6 @@ _LATER = [*_NAMES, "-----begin ", "bearer", *_TOKENS, "hooks.slack.com", "eyj"]
 REDACTION_HINTS = [["-----begin "], ["bearer"], _TOKENS, ["hooks.slack.com"], ["eyj"], _LATER, _LATER, ["://"], _LATER, ["@"], ["~/", "/users/", "/home/", "/var/", "/private/", "/tmp/"], [":\\"]]
 FENCED_CODE, INLINE_CODE = r"(?s)```.*?```", r"`[^`]*`"
 MARKDOWN_LINK, MARKDOWN_MARKER = r"!?(?:\[[^\]]*\])\([^)]*\)", r"(?m)^\s{0,3}(?:[#>*+\-]|\d+[.)])\s+"
-DECISION_CUE = r"(?i)\b(?:decide|decision|choose|chose|choice|select|selected|prefer|preferred|recommend|recommendation|should we|we['’]?ll use|we will use|let['’]?s use|adopt|go with|pick|trade[- ]off|instead of|rather than)\b|决定|决策|选择|选用|偏好|推荐|建议|采用|取舍|替代|代替|改用|不要.*改|不使用"
+INJECTED_NOISE = r"(?is)^\s*(?:<environment_context\b|<cwd\b|<system(?:-reminder)?\b|<user_info\b|<permissions(?:\s+instructions)?\b|\[system(?:-reminder)?\]|\[environment_context\b|(?:#+\s*)?agents\.md\b|(?:#+\s*)?context\s+from\s+my\s+ide\s+setup\b|#+\s+(?:skills|available\s+skills)\b|(?:you must|must follow|do not|don't|never)\b)"
+SLUG = r"^[a-z0-9]+(?:-[a-z0-9]+)*$"
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"

@@ -31,6 +31,42 @@ def collapse_white(text: Column) -> Column:
     return trim_white(F.regexp_replace(text, f"{WHITE}+", " "))
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def ascii_lower(text: Column) -> Column:
+    """A to Z in lower case, all else as it is."""
+    return F.translate(text, _UPPER, _LOWER)
+
+
+def ascii_lower_of(value: str) -> str:
+    return value.translate(str.maketrans(_UPPER, _LOWER))
+
+
+def relative_time(time: Column, now: Column) -> Column:
+    """How long before or after `now`, both in seconds, a time is: just now, minutes, hours, days, months or years; - for null."""
+    delta = F.abs(now - time)
+    units = [(60, 3600, "m"), (3600, 86400, "h"), (86400, 30 * 86400, "d"), (30 * 86400, 365 * 86400, "mo"), (365 * 86400, None, "y")]
+    value = F.when(delta < 60, "")
+    for seconds, below, unit in units:
+        count = F.concat(F.floor(delta / seconds).cast("string"), F.lit(unit))
+        value = value.when(delta < below, count) if below else value.otherwise(count)
+    return F.when(time.isNull(), "-").when(value == "", "just now").when(time > now, F.concat(F.lit("in "), value)).otherwise(F.concat(value, F.lit(" ago")))
+
+
+def highlight(text: Column, terms: list[str], before: str, after: str) -> Column:
+    """The text with every hit of a term between two marks, whatever the case; at a place, the longest term counts."""
+    longest_first = sorted((t for t in terms if t), key=len, reverse=True)
+    if not longest_first:
+        return text
+    pattern = "(?iu)(" + "|".join(re.escape(t) for t in longest_first) + ")"
+    return F.regexp_replace(text, pattern, f"{_literal(before)}$1{_literal(after)}")
+
+
+def _literal(replacement: str) -> str:
+    return replacement.replace("\\", "\\\\").replace("$", "\\$")
+
+
 def starts_with_any(text: Column, prefixes: list[str]) -> Column:
     out = F.lit(False)
     for p in prefixes:
@@ -146,10 +182,12 @@ def token_text_of(value: str) -> str:
     return " " + " ".join("".join(c if c.isalnum() else " " for c in plain).split()) + " "
 
 
-def snippet(text: Column, term: str, chars: int = 200) -> Column:
-    """The collapsed text around the first hit of a term, of `chars` characters, an ellipsis for each side that is cut."""
+def snippet(text: Column, terms: str | list[str], chars: int = 200) -> Column:
+    """The collapsed text around the earliest hit of any term, of `chars` characters, an ellipsis for each side that is cut."""
     flat = collapse_white(text)
-    hit = F.locate(term.lower(), F.lower(flat)) - 1
+    places = [F.locate(t.lower(), F.lower(flat)) for t in ([terms] if isinstance(terms, str) else terms) if t]
+    found = [F.when(p > 0, p) for p in places]
+    hit = F.coalesce(F.least(*found, F.lit(None).cast("int")) if found else F.lit(0), F.lit(0)) - 1
     start = F.greatest(F.lit(0), F.least(hit - chars // 3, F.length(flat) - chars))
     window = F.substring(flat, start + 1, F.lit(chars))
     window = F.when(start > 0, F.concat(F.lit("…"), F.substring(window, F.lit(2), F.lit(chars)))).otherwise(window)

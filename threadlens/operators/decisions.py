@@ -4,8 +4,10 @@ Everything up to the candidates is an expression over one sentence and costs no
 are found by islands: a run of confirmations belongs to the decision that it follows without a gap of more than three messages.
 Implementations meet decisions in a join on the words they share, so no transcript is folded row by row.
 
-Other than by a fold, distances of implementations are counted from the decision's own message, sentences that say the same are
-candidates of their own, and a confirming sentence that decides something itself is a decision unless it confirms an earlier one.
+merged() brings candidates together that one message makes on the same choice, or that answer each other within two messages.
+
+Other than by a fold, distances of implementations are counted from the decision's own message, and a confirming sentence that decides
+something itself is a decision unless it confirms an earlier one.
 """
 
 from __future__ import annotations
@@ -124,6 +126,7 @@ def choice(segment: Column) -> Column:
         .when(T.matches(text, P.CHOOSE_OVER), named(clean(_group(text, P.CHOOSE_OVER, 1)), clean(_group(text, P.CHOOSE_OVER, 2))))
         .when(*instead).when(*compared)
         .when((use > 0) & ((no_use == 0) | (use < no_use)), used)
+        .when(no_use == 0, named(clean(_upto(_group(text, P.LEADING_USE, 1), P.CHOICE_REASON, P.REJECTED_TAIL))))
         .otherwise(named(F.lit("")))
     )
 
@@ -141,6 +144,32 @@ def rationale(segment: Column) -> Column:
     )
 
 
+def is_usable_chosen(chosen: Column, options: Column) -> Column:
+    """Whether a choice names something: no pronoun, clause or general word, not too long, and one of the options if there are any."""
+    name = clean(chosen)
+    low = F.lower(name)
+    general = T.matches(low, P.GENERIC_CHOICE) | T.matches(low, P.GENERIC_CHOICE_PREFIX) | T.starts_with_any(low, ["i ", "we "])
+    clause = T.matches(name, P.CHOICE_CLAUSE) | T.matches(name, P.CHOICE_PRONOUN) | T.matches(name, P.TOOL_META_CHOICE)
+    listed = (F.coalesce(F.size(options), F.lit(0)) < 1) | F.exists(options, lambda o: F.lower(clean(o)) == low)
+    return (name != "") & ~general & ~clause & (F.length(name) <= P.USABLE_CHOICE_CHARS) & F.coalesce(listed, F.lit(False))
+
+
+def reasons(signal: Column, options: Column, chosen: Column, why: Column, confirms: Column) -> Column:
+    """What raised or lowered a candidate's confidence, in order."""
+    strong, n = T.matches(signal, P.STRONG_CUE), F.size(options)
+    replaced = F.lower(signal).contains("instead of") | F.lower(signal).contains("rather than") | signal.rlike("改用|而非|而不是")
+    found = [
+        F.when(T.matches(signal, P.USAGE_CUE) & ~strong & (why == ""), "descriptive-usage").otherwise("decision-word"),
+        F.when(n > 1, "alternatives").when((n == 1) & strong, "chosen-option"),
+        F.when(signal.rlike("[?？]"), "open-question"),
+        F.when(chosen != "", "chosen-option").otherwise("missing-chosen-option"),
+        F.when(why != "", "because-rationale"),
+        F.when(replaced, "instead-of"),
+        F.when(confirms, "explicit-confirmation"),
+    ]
+    return F.array_distinct(F.array_compact(F.array(*found)))
+
+
 def confidence(signal: Column, options: Column, chosen: Column, why: Column, confirms: Column) -> Column:
     strong, n = T.matches(signal, P.STRONG_CUE), F.size(options)
 
@@ -174,10 +203,11 @@ def _marked(messages: DataFrame, keys: list[str]) -> DataFrame:
 def candidates(messages: DataFrame, keys: list[str], *, least: float = P.ADMITTED_FROM, resolved_only: bool = False) -> DataFrame:
     """The sentences that decide something, with options, choice, rationale and confidence."""
     d = _marked(messages, keys).where("cue").withColumn("c", choice(F.col("segment"))).withColumn("rationale", rationale(F.col("segment")))
-    d = d.withColumn("confidence", confidence(F.col("signal"), F.col("c.options"), F.col("c.chosen"), F.col("rationale"), F.col("confirms"))).where(F.col("confidence") >= least)
+    facts = (F.col("signal"), F.col("c.options"), F.col("c.chosen"), F.col("rationale"), F.col("confirms"))
+    d = d.withColumns({"confidence": confidence(*facts), "reasons": reasons(*facts)}).where(F.col("confidence") >= least)
     name = decision_id(F.col("session_id"), F.col("at") - 1, F.col("ordinal"), F.col("segment"))
-    d = d.select(name.alias("decision_id"), *keys, "at", "ordinal", "role", "segment", "c.options", "c.chosen", "rationale", "confidence", "confirms")
-    return d.where("chosen <> '' AND rationale <> ''") if resolved_only else d
+    d = d.select(name.alias("decision_id"), *keys, "at", "ordinal", "role", "segment", "c.options", "c.chosen", "rationale", "confidence", "confirms", "reasons")
+    return d.where((F.col("chosen") != "") & (F.col("rationale") != "") & is_usable_chosen(F.col("chosen"), F.col("options"))) if resolved_only else d
 
 
 def confirmations(messages: DataFrame, decided: DataFrame, keys: list[str], within: int = P.CONFIRM_WITHIN) -> DataFrame:
@@ -203,6 +233,70 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.concat(words, F.regexp_extract_all(plain, F.lit(P.CJK_TOKEN), F.lit(0)), runs))
 
 
+def related(decided: DataFrame, keys: list[str], within: int = P.RELATED_WITHIN) -> DataFrame:
+    """Candidates (decision_id) with the latest one before them, at most `within` messages back, by the other role and on a shared token."""
+    about = tokens(F.concat_ws(" ", "segment", "chosen", "rationale", F.array_join("options", " ")))
+    d = decided.select(*keys, "at", "ordinal", F.lower("role").alias("role"), "decision_id", F.explode(about).alias("token"))
+    earlier = d.select(*keys, F.col("at").alias("e_at"), F.col("ordinal").alias("e_ordinal"), F.col("role").alias("e_role"), F.col("decision_id").alias("earlier_id"), "token")
+    met = d.join(earlier, [*keys, "token"]).where((F.col("e_at") < F.col("at")) & (F.col("at") - F.col("e_at") <= within) & (F.col("role") != F.col("e_role")))
+    return met.groupBy("decision_id").agg(F.max_by("earlier_id", F.struct("e_at", "e_ordinal")).alias("earlier_id"))
+
+
+def merged(decided: DataFrame, keys: list[str], within: int = P.RELATED_WITHIN) -> DataFrame:
+    """Candidates brought together: those of one message with the same choice, then each with the related one before it.
+
+    A merged row has the first context, choice and rationale that are not empty, all options, reasons and ids in order, the highest
+    confidence and the last message. Chains of related candidates are followed by doubling, so long ones take few rounds.
+    """
+    place = F.struct("at", "ordinal", "decision_id")
+    same = Window.partitionBy(*keys, "at", F.lower("chosen")).orderBy("ordinal", "decision_id")
+    named = decided.withColumn("same_id", F.first("decision_id").over(same))
+    firsts = named.where("decision_id = same_id")
+    links = related(firsts, keys, within)
+    up = firsts.select("decision_id").join(links, "decision_id", "left").select("decision_id", F.coalesce("earlier_id", "decision_id").alias("root"))
+    while True:
+        above = up.select(F.col("decision_id").alias("root"), F.col("root").alias("above"))
+        next_up = up.join(above, "root").select("decision_id", F.col("above").alias("root"), (F.col("above") != F.col("root")).alias("moved"))
+        if decided.sparkSession.sparkContext.getCheckpointDir():
+            next_up = next_up.checkpoint()
+        moved = next_up.where("moved").isEmpty()
+        up = next_up.select("decision_id", "root")
+        if moved:
+            break
+    rows = named.join(up.select(F.col("decision_id").alias("same_id"), "root"), "same_id")
+
+    def first_of(name: str) -> Column:
+        return F.coalesce(F.min_by(F.when(F.col(name) != "", F.col(name)), F.when(F.col(name) != "", place)), F.lit("")).alias(name)
+
+    def all_of(name: str) -> Column:
+        lists = F.array_sort(F.collect_list(F.struct("at", "ordinal", "decision_id", F.col(name).alias("v"))))
+        return F.array_distinct(F.flatten(F.transform(lists, lambda x: x["v"]))).alias(name)
+
+    ids = F.transform(F.array_sort(F.collect_list(place)), lambda p: p["decision_id"]).alias("members")
+    return rows.groupBy(*keys, F.col("root").alias("decision_id")).agg(
+        F.min("at").alias("message_start"), F.max("at").alias("message_end"), first_of("segment"), first_of("chosen"), first_of("rationale"),
+        all_of("options"), all_of("reasons"), F.max("confidence").alias("confidence"), ids,
+    )
+
+
+def apply_judgments(decided: DataFrame, judgments: DataFrame, least: float = P.ADMITTED_FROM) -> DataFrame:
+    """Candidates after judgments (decision_id, disposition, judged, reason_codes), `judged` being a confidence; those left below `least` go.
+
+    suppress sets the confidence to 0; draft may only raise it, and only where choice and rationale are there; review leaves it. A
+    candidate without a judgment stays as it is.
+    """
+    action = F.lower(F.trim("disposition"))
+    complete = (F.col("chosen") != "") & (F.col("rationale") != "")
+    told = F.transform(F.coalesce("reason_codes", F.array().cast("array<string>")), lambda r: F.concat(F.lit("llm:reason:"), F.trim(r)))
+    note = F.when((action == "draft") & ~complete, "llm:review-missing-fields").when(action == "review", "llm:review")
+    more = F.array_compact(F.concat(F.array(F.concat(F.lit("llm:"), action)), told, F.array(note)))
+    judged = F.col("disposition").isNotNull()
+    level = F.when(action == "suppress", 0.0).when((action == "draft") & complete, F.greatest("confidence", "judged")).otherwise(F.col("confidence"))
+    out = decided.join(judgments, "decision_id", "left")
+    out = out.withColumns({"reasons": F.when(judged, F.array_distinct(F.concat("reasons", more))).otherwise(F.col("reasons")), "confidence": F.coalesce(level, "confidence")})
+    return out.where(F.col("confidence") >= least).drop("disposition", "judged", "reason_codes")
+
+
 def implementations(messages: DataFrame, decided: DataFrame, keys: list[str], within: int = P.IMPLEMENT_WITHIN) -> DataFrame:
     """The assistant's sentences on what was done or tested, each with the latest decision before it that shares a token."""
     d = decided.select(*keys, F.col("at").alias("d_at"), F.col("ordinal").alias("d_ordinal"), "decision_id", F.explode(tokens(F.concat_ws(" ", "segment", "chosen", "rationale", F.array_join("options", " ")))).alias("token"))
@@ -249,3 +343,64 @@ def decision_state(status: Column) -> Column:
 
 def candidate_state(status: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in CANDIDATE_STATES.items() for x in kv]), status), F.lit("detected"))
+
+
+# Decisions as rows: (status, outcome, kind, context, confidence, supersedes, options, evidence, session_id), evidence being an array of
+# structs (kind, quote, message_index).
+
+# What the fields may hold.
+STATUSES = ["proposed", "accepted", "rejected", "deferred", "superseded", "draft"]
+OUTCOMES = ["unknown", "planned", "implemented", "abandoned"]
+IMPLEMENTATION_KINDS = ["implementation", "test", "tests_passed", "commit"]
+EVIDENCE_KINDS = ["explicit", "transcript", "rationale", "alternative", *IMPLEMENTATION_KINDS]
+
+
+def _kind(e: Column) -> Column:
+    return F.lower(T.trim_white(F.coalesce(e["kind"], F.lit(""))))
+
+
+def normalized(decided: DataFrame) -> DataFrame:
+    """Decisions with defaults; implemented needs evidence of it, else the outcome is unknown."""
+    blank = lambda c, default: F.when(T.trim_white(F.coalesce(c, F.lit(""))) == "", default).otherwise(F.col(c))
+    proof = F.coalesce(F.exists("evidence", lambda e: _kind(e).isin(IMPLEMENTATION_KINDS)), F.lit(False))
+    outcome = F.when((blank("outcome", "unknown") == "implemented") & ~proof, "unknown").otherwise(blank("outcome", "unknown"))
+    return decided.withColumns({"kind": blank("kind", "decision"), "status": blank("status", "proposed"), "outcome": outcome, "options": F.coalesce("options", F.array().cast("array<string>"))})
+
+
+def problem(decided: DataFrame) -> DataFrame:
+    """The first thing that is wrong with each normalized decision, as `problem`; null if nothing is."""
+    d = normalized(decided)
+    blank = lambda c: T.trim_white(F.coalesce(c, F.lit(""))) == ""
+    evidence = F.coalesce("evidence", F.array().cast(d.schema["evidence"].dataType))
+    bad = lambda test: F.exists(evidence, test)
+    level = F.col("confidence")
+    wrong = (
+        F.when(F.col("kind") != "decision", "kind").when(~F.col("status").isin(STATUSES), "status").when(blank("context"), "context").when(~F.col("outcome").isin(OUTCOMES), "outcome")
+        .when(level.isNull() | F.isnan(level) | (level < 0) | (level > 1), "confidence").when((F.col("status") == "superseded") & blank("supersedes"), "supersedes")
+        .when(F.exists("options", lambda o: T.trim_white(F.coalesce(o, F.lit(""))) == ""), "option").when(bad(lambda e: ~_kind(e).isin(EVIDENCE_KINDS)), "evidence kind")
+        .when(bad(lambda e: F.length(T.trim_white(F.coalesce(e["quote"], F.lit("")))) < P.LEAST_QUOTE), "evidence quote").when(bad(lambda e: e["message_index"] < 0), "evidence index")
+        .when(blank("session_id"), "session")
+    )
+    return d.withColumn("problem", wrong)
+
+
+def list_decisions(current: DataFrame, supersessions: DataFrame, *, status: str = "", include_deleted: bool = False, limit: int = 0) -> DataFrame:
+    """Candidates of kind decision as decisions, the last updated first. Deleted ones that were replaced are `superseded`; no other status tells."""
+    rows = current.where("kind = 'decision'")
+    gone = supersessions.where("kind = 'decision'").select(F.trim("candidate_id").alias("id")).distinct().withColumn("gone", F.lit(True))
+    if status == "superseded":
+        rows = rows.where("status = 'deleted'")
+    elif status:
+        rows = rows.where(F.col("status") == candidate_state(F.lit(status)))
+    elif not include_deleted:
+        rows = rows.where("status <> 'deleted'")
+    rows = rows.join(gone, "id", "left")
+    state = F.when((F.col("status") == "deleted") & F.col("gone"), "superseded").otherwise(decision_state(F.col("status")))
+    rows = rows.withColumn("state", state).drop("gone")
+    rows = rows.where(F.col("state") == status) if status else rows
+    rows = rows.orderBy(F.desc("updated_at"), "id")
+    return rows.limit(limit) if limit > 0 else rows
+
+
+def in_order(decided: DataFrame) -> DataFrame:
+    return decided.orderBy("session_id", "at", "decision_id")

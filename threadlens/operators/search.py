@@ -12,7 +12,7 @@ from __future__ import annotations
 import unicodedata
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -149,7 +149,7 @@ def universe(messages: DataFrame, *, tools: list[str] = (), cwds: list[str] = ()
     for tool in tools:
         rows = rows.where(F.col("tool") == tool)
     for cwd in cwds:
-        rows = rows.where(F.lower("cwd").contains(cwd.lower()))
+        rows = rows.where(T.ascii_lower(F.col("cwd")).contains(T.ascii_lower_of(cwd)))
     return rows if after is None else rows.where(F.col("ts") >= after)
 
 
@@ -162,41 +162,62 @@ def matching_messages(messages: DataFrame, condition: Condition | None, **filter
     return plan.rows.where(match), [plan.column(a) for a in positive_atoms(condition)]
 
 
-def search(messages: DataFrame, condition: Condition | None, *, limit: int = 20, **filters: object) -> DataFrame:
-    """The best sessions: matched atoms, then matches, then newest. Texts are fetched for these only."""
+def _ranked(messages: DataFrame, condition: Condition | None, limit: int, filters: dict) -> DataFrame:
+    """The best sessions, without what is only shown: matched atoms, then matches, then newest."""
     if limit <= 0:
         raise ValueError("limit must be above 0")
     found, atoms = matching_messages(messages, condition, **filters)
     physical = found.groupBy(*PHYSICAL).agg(F.count("*").alias("n"), F.min("id").alias("first_id"), *[F.bool_or(a).alias(a) for a in atoms])
-    known = physical.join(session_rollup(messages), PHYSICAL)
+    # How old a source is follows from all its messages, those that do not match included.
+    ages = messages.groupBy(*PHYSICAL).agg(F.min("ts").alias("created"), F.max("ts").alias("updated"))
     matched = sum((F.max(F.col(a).cast("int")) for a in atoms), F.lit(0)) if atoms else F.lit(0)
-    ranked = (
-        known.groupBy(*LOGICAL)
+    return (
+        physical.join(ages, PHYSICAL).groupBy(*LOGICAL)
         .agg(
             matched.alias("matched_atoms"),
             F.sum("n").alias("match_count"),
             F.min("created").alias("created"),
             F.max("updated").alias("updated"),
-            F.coalesce(F.min(F.when(F.col("title") != "", F.struct("first_id", "title")))["title"], F.lit("")).alias("title"),
-            F.coalesce(F.min(F.when(F.col("cwd") != "", F.struct("first_id", "cwd")))["cwd"], F.lit("")).alias("cwd"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first_id", "source_path"))), lambda s: s["source_path"]), "|").alias("source_paths"),
+            F.array_sort(F.collect_list(F.struct("first_id", "source_path"))).alias("sources"),
         )
         .orderBy(F.desc("matched_atoms"), F.desc("match_count"), F.desc_nulls_last("updated"), "tool", "session_id")
         .limit(limit)
-    )
-    return ranked.withColumn("created", format_timestamp(F.col("created"))).withColumn("updated", format_timestamp(F.col("updated")))
+    )
+
+
+def _titled(ranked: DataFrame, messages: DataFrame) -> DataFrame:
+    """Adds title and cwd; texts are rolled up for the sessions in `ranked` only, which are as few as the limit says."""
+    keys = F.broadcast(ranked.select(*LOGICAL))
+    rolled = session_rollup(messages.join(keys, LOGICAL, "left_semi")).select(*PHYSICAL, "title", "cwd")
+    sources = ranked.select(*LOGICAL, F.explode("sources").alias("s")).select(*LOGICAL, F.col("s.first_id").alias("first_id"), F.col("s.source_path").alias("source_path"))
+    named = sources.join(rolled, PHYSICAL).groupBy(*LOGICAL).agg(*[F.coalesce(F.min(F.when(F.col(c) != "", F.struct("first_id", c)))[c], F.lit("")).alias(c) for c in ("title", "cwd")])
+    out = ranked.join(named, LOGICAL, "left").select(
+        *LOGICAL, "matched_atoms", "match_count", format_timestamp(F.col("created")).alias("created"), format_timestamp(F.col("updated")).alias("updated"), "title", "cwd",
+        F.array_join(F.transform("sources", lambda s: s["source_path"]), "|").alias("source_paths"), F.col("updated").alias("_updated"),
+    )
+    return out.orderBy(F.desc("matched_atoms"), F.desc("match_count"), F.desc_nulls_last("_updated"), "tool", "session_id").drop("_updated")
+
+
+def search(messages: DataFrame, condition: Condition | None, *, limit: int = 20, **filters: object) -> DataFrame:
+    """The best sessions: matched atoms, then matches, then newest. Titles are fetched for these only."""
+    return _titled(_ranked(messages, condition, limit, filters), messages)
 
 
-def search_enriched(messages: DataFrame, condition: Condition, *, limit: int = 20, **filters: object) -> DataFrame:
-    """search() with message counts, snippets and last rounds of the sessions found; the keys are at most `limit` rows."""
-    top = search(messages, condition, limit=limit, **filters)
-    keys = F.broadcast(top.select(*LOGICAL))
-    of_top = messages.join(keys, LOGICAL)
+def search_enriched(messages: DataFrame, condition: Condition | None, *, limit: int = 20, **filters: object) -> DataFrame:
+    """search() with message counts, snippets and last rounds of the sessions found; these are at most `limit` rows, and found once."""
+    ranked = _ranked(messages, condition, limit, filters)
+    # At most `limit` short rows come to the driver, so the search is not planned again for each thing that is fetched.
+    ranked = messages.sparkSession.createDataFrame(ranked.collect(), ranked.schema)
+    keys = F.broadcast(ranked.select(*LOGICAL))
+    of_top = messages.join(keys, LOGICAL, "left_semi")
     counts = of_top.groupBy(*LOGICAL).agg(F.count("*").alias("message_count"))
     found, _ = matching_messages(of_top, condition, **filters)
-    term = positive_terms(condition)[0]
-    firsts = found.groupBy(*LOGICAL).agg(F.slice(F.array_sort(F.collect_list("id")), 1, SNIPPET_SOURCES).alias("ids")).select(*LOGICAL, F.explode("ids").alias("id"))
-    texts = firsts.join(of_top.select(*LOGICAL, "id", "text"), [*LOGICAL, "id"]).select(*LOGICAL, "id", T.snippet(F.col("text"), term, SNIPPET_CHARS).alias("s"))
+    terms = positive_terms(condition) if condition is not None else []
+    # The smallest ids of a session are kept as its rows come in; no session's ids are ever gathered.
+    first = Window.partitionBy(*LOGICAL).orderBy("id")
+    firsts = found.select(*LOGICAL, "id", "text").withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= SNIPPET_SOURCES)
+    texts = firsts.select(*LOGICAL, "id", T.snippet(F.col("text"), terms, SNIPPET_CHARS).alias("s"))
     snippets = texts.groupBy(*LOGICAL).agg(F.array_sort(F.collect_list(F.struct("id", "s"))).alias("s"))
     snippets = snippets.select(*LOGICAL, F.array_join(F.slice(F.array_distinct(F.transform("s", lambda x: x["s"])), 1, SNIPPETS), "|").alias("snippets"))
+    top = _titled(ranked, messages)
     return top.join(counts, LOGICAL, "left").join(snippets, LOGICAL, "left").join(last_rounds(of_top), LOGICAL, "left")

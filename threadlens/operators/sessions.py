@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -35,21 +35,49 @@ def tool_stats(messages: DataFrame) -> DataFrame:
     return tools.join(counted, "tool", "left").na.fill(0)
 
 
-def show(messages: DataFrame, prefix: str, *, role: str | None = None) -> DataFrame:
-    """The messages of the sessions whose id starts with `prefix`, whatever the case of ASCII letters."""
-    rows = messages.where(F.lower("session_id").startswith(prefix.lower()) if prefix else F.lit(False))
+def has_prefix(prefix: str) -> Column:
+    """Whether a session's id starts with `prefix`, whatever the case of ASCII letters."""
+    return T.ascii_lower(F.col("session_id")).startswith(T.ascii_lower_of(prefix))
+
+
+def show(messages: DataFrame, prefix: str, *, role: str | None = None, limit: int = 0) -> DataFrame:
+    """The messages of the sessions whose id starts with `prefix`, in order; none for an empty prefix."""
+    rows = messages.where(has_prefix(prefix) if prefix else F.lit(False))
     if role:
         rows = rows.where(F.col("role") == role)
+    rows = rows.orderBy("tool", "session_id", F.coalesce("ts", F.lit(0.0)), "id")
+    rows = rows.limit(limit) if limit > 0 else rows
     return rows.select("tool", "session_id", "id", format_timestamp(F.col("ts")).alias("time"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def transcript(messages: DataFrame, prefix: str, *, tool: str = "", cwd: str = "", after: float | None = None) -> DataFrame:
+    """The messages of a session (or of all whose id starts with `prefix`), in order; a source's folder is that of its session."""
+    folders = session_rollup(messages).select(*PHYSICAL, F.col("cwd").alias("session_cwd"))
+    rows = messages.where(has_prefix(prefix))
+    if tool:
+        rows = rows.where(F.col("tool") == tool)
+    if after is not None:
+        rows = rows.where(F.col("ts") >= after)
+    if cwd:
+        rows = rows.join(folders.where(T.ascii_lower(F.col("session_cwd")).contains(T.ascii_lower_of(cwd))), PHYSICAL, "left_semi")
+    return rows.orderBy(F.coalesce("ts", F.lit(0.0)), "id")
+
+
+def last_round_shown(messages: DataFrame) -> DataFrame:
+    """Per session the last user and assistant texts that are not blank, noise included and whole."""
+    said = F.lower(T.trim_white(F.col("role")))
+    m = messages.withColumns({"said": said, "body": T.trim_white(F.col("text"))}).where("body <> '' AND said IN ('user', 'assistant')")
+    newest = F.struct(F.coalesce("ts", F.lit(0.0)).alias("ts"), "id", "body")
+    return m.groupBy(*LOGICAL).agg(*[F.coalesce(F.max(F.when(F.col("said") == r, newest))["body"], F.lit("")).alias(f"last_{r}") for r in ("user", "assistant")])
+
+
 def recent(messages: DataFrame, *, tool: str | None = None, cwd: str | None = None, after: float | None = None, limit: int = 100) -> DataFrame:
     """The physical sessions last updated."""
     s = session_rollup(messages)
     if tool:
         s = s.where(F.col("tool") == tool)
     if cwd:
-        s = s.where(F.lower("cwd").contains(cwd.lower()))
+        s = s.where(T.ascii_lower(F.col("cwd")).contains(T.ascii_lower_of(cwd)))
     if after is not None:
         s = s.where(F.col("updated") >= after)
     ranked = s.orderBy(F.coalesce("updated", "created", F.lit(0.0)).desc(), "tool", "session_id", "source_path").limit(limit)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import regexes as R
 from ..functions import text as T
+from .incremental import pending_sessions
 from .sessions import session_rollup
 from .signals import quality_gate, signal_bundle
 from .windows import instructions
@@ -36,9 +38,183 @@ def cut_slug(slug: Column, chars: Column | int = SLUG_CHARS) -> Column:
     return F.when(F.length(slug) > chars, F.regexp_replace(F.substring(slug, F.lit(1), F.lit(chars) if isinstance(chars, int) else chars), "^-+|-+\\z", "")).otherwise(slug)
 
 
+def clean_messages(messages: DataFrame) -> DataFrame:
+    """User and assistant messages with text, roles in lower case, without injected texts."""
+    role, text = F.lower(T.trim_white(F.col("role"))), T.trim_white(F.col("text"))
+    return messages.withColumn("role", role).where(F.col("role").isin("user", "assistant") & (text != "") & ~T.matches(text, R.INJECTED_NOISE))
+
+
+def evidence(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """What speaks for a session's success: users' acceptance and passed tests, numbered in order.
+
+    keys, evidence_id, kind, message_index (from 0, among the clean messages), role, source_path and summary.
+    """
+    m = clean_messages(messages)
+    order = Window.partitionBy(*keys).orderBy(F.coalesce("ts", F.lit(0.0)), "id")
+    m = m.withColumn("message_index", F.row_number().over(order) - 1)
+    text = T.trim_white(F.col("text"))
+    kinds = F.array_compact(F.array(F.when((F.col("role") == "user") & T.matches(text, R.ACCEPTANCE), "acceptance"), F.when(T.matches(text, R.TEST_PASSED), "tests_passed")))
+    each = m.select(*keys, "message_index", "role", "source_path", T.message_summary(F.col("text")).alias("summary"), F.posexplode(kinds).alias("nth", "kind"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("message_index", "nth"))
+    return each.select(*keys, F.concat(F.lit("evidence-"), number).alias("evidence_id"), "kind", "message_index", "role", "source_path", "summary")
+
+
+def evidence_in_order(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.orderBy(*keys, "message_index", "evidence_id")
+
+
+def evidence_kinds(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The kinds of a session's evidence, each once, as they first occur."""
+    firsts = rows.groupBy(*keys, "kind").agg(F.min(F.struct("message_index", "evidence_id")).alias("first"))
+    return firsts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "kind"))), lambda x: x["kind"]), "|").alias("kinds"))
+
+
+def repaired_turns(turns: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """A decision, new or same, for each of a session's n user turns (keys, n), from those told (keys, turn, decision).
+
+    Turn 0 is always new; a turn that nothing is told of is the same task, and `missing`.
+    """
+    every = counts.where("n > 0").select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1)).alias("turn"))
+    told = turns.where("coalesce(decision, '') <> ''").groupBy(*keys, F.col("turn").cast("long").alias("turn")).agg(F.max("decision").alias("decision"))
+    missing = F.col("decision").isNull()
+    return every.join(told, [*keys, "turn"], "left").select(*keys, "turn", F.when(F.col("turn") == 0, "new").otherwise(F.coalesce("decision", F.lit("same"))).alias("decision"), missing.alias("missing"))
+
+
+def segments(messages: DataFrame, turns: DataFrame, keys: list[str]) -> DataFrame:
+    """Clean messages with the number of their task: a task starts at a user turn that is new; what comes before the first turn is dropped.
+
+    Without any turn of its own, a session is one task.
+    """
+    m = clean_messages(messages)
+    order = Window.partitionBy(*keys).orderBy(F.coalesce("ts", F.lit(0.0)), "id")
+    text = T.trim_white(F.col("text"))
+    asks = (F.col("role") == "user") & ~(text.contains("/resume-claude") | text.contains("<skill_information") | text.startswith("I executed a terminal command:"))
+    m = m.withColumn("asks", asks).withColumn("turn", F.sum(F.col("asks").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1)
+    told = turns.select(*keys, F.col("turn").alias("t"), "decision").withColumnRenamed("t", "turn")
+    m = m.join(told, [*keys, "turn"], "left")
+    starts = F.col("asks") & ((F.col("turn") == 0) | (F.col("decision") == "new").eqNullSafe(F.lit(True)))
+    m = m.withColumn("segment", F.sum(starts.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = F.max("turn").over(Window.partitionBy(*keys)) < 0
+    return m.withColumn("whole", whole).where("whole OR segment >= 1").withColumn("segment", F.when(F.col("whole"), 1).otherwise(F.col("segment"))).drop("asks", "turn", "decision", "whole")
+
+
+def apply_judgments(bundle: DataFrame, judgments: DataFrame, keys: list[str]) -> DataFrame:
+    """Bundles after judgments (keys, verdict, judged, judged_one_off, judged_secret, reason_codes); risks are only ever raised.
+
+    suppress drops a bundle; review keeps it as a draft to look at; draft may raise its confidence and score, where slug, trigger and
+    instructions are there. Whatever else was said, high risks or no evidence suppress it, but for review. Bundles without one stay.
+    """
+    b = bundle.join(judgments, keys, "left")
+    c, judged, verdict = F.col, F.col("verdict").isNotNull(), F.col("verdict")
+    complete = (c("slug") != "") & (c("trigger") != "") & (c("instructions") != "")
+    raised = (verdict == "draft") & complete & (c("judged") > c("confidence")) & (c("disposition") != "suppress")
+    note = F.when(verdict == "review", "llm:review").when((verdict == "draft") & ~complete, "llm:review-missing-fields")
+    told = F.transform(F.coalesce("reason_codes", F.array().cast("array<string>")), lambda r: F.concat(F.lit("llm:"), F.trim(r)))
+    more = F.array_distinct(F.filter(F.concat(F.split("reasons", "\\|"), told, F.array_compact(F.array(note))), lambda r: r != ""))
+    one_off, secret = F.greatest("one_off_risk", "judged_one_off"), F.greatest("secret_risk", "judged_secret")
+    hard = (verdict != "review") & ((one_off >= 0.8) | (secret >= 0.75) | (c("success_evidence") == ""))
+    out = F.when((verdict == "suppress") | hard, "suppress").when((verdict == "review") | ((verdict == "draft") & ~complete), "draft").otherwise(c("disposition"))
+    action = F.when((verdict == "suppress") | hard, "suppress").when((verdict == "review") | ((verdict == "draft") & ~complete), "review").otherwise("draft")
+    score = F.when((verdict == "suppress") | hard, 0.0).when(raised, F.greatest("score", "judged")).otherwise(c("score"))
+    new = {
+        "disposition": out, "score": score, "confidence": F.when(raised, c("judged")).otherwise(c("confidence")), "one_off_risk": one_off, "secret_risk": secret,
+        "reasons": F.array_join(more, "|"), "action": action,
+    }
+    return b.withColumns({k: F.when(judged, v).otherwise(F.col(k)) for k, v in new.items()}).drop("verdict", "judged", "judged_one_off", "judged_secret", "reason_codes")
+
+
+def split_slug(slug: Column) -> Column:
+    """The slug of what is split off a bundle."""
+    tail = "-part-2"
+    room = SLUG_CHARS - len(tail)
+    head = F.when(F.length(slug) <= room, slug).otherwise(F.regexp_replace(F.substring(slug, 1, room), r"^-+|-+\z", ""))
+    return F.when(slug == "", "split-skill").otherwise(F.concat(head, F.lit(tail)))
+
+
+def split_evidence(rows: DataFrame, requests: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Splits one piece of evidence off each bundle asked for: (keys, evidence_id), an empty id being the first.
+
+    The outcome of each request - done, too_few or not_found - and the evidence with its `part`: 1 stays, 2 is split off.
+    """
+    known = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by("evidence_id", F.struct("message_index", "evidence_id")).alias("first_id"))
+    asked = requests.join(known, keys, "left").withColumn("wanted", F.when(F.coalesce("evidence_id", F.lit("")) == "", F.col("first_id")).otherwise(F.col("evidence_id")))
+    there = rows.select(*keys, F.col("evidence_id").alias("wanted"), F.lit(True).alias("there"))
+    asked = asked.join(there, [*keys, "wanted"], "left")
+    outcome = F.when(F.coalesce("n", F.lit(0)) < 2, "too_few").when(F.col("there").isNull(), "not_found").otherwise("done")
+    asked = asked.select(*keys, "wanted", outcome.alias("outcome"))
+    done = asked.where("outcome = 'done'").select(*keys, "wanted")
+    return asked.select(*keys, "outcome"), rows.join(done, keys).withColumn("part", F.when(F.col("evidence_id") == F.col("wanted"), 2).otherwise(1)).drop("wanted")
+
+
+def publish_outcome(bundle: DataFrame) -> DataFrame:
+    """Whether each bundle may be published, as `outcome`: ok, suppressed or sensitive."""
+    n = F.size(F.filter(F.split("success_evidence", "\\|"), lambda e: e != ""))
+    secret = (F.col("secret_risk") >= 0.75) | (T.secret_count(F.concat_ws("\n", "slug", "trigger", "instructions")) > 0)
+    suppressed = (F.col("disposition") == "suppress") | (n < 1) | (F.col("one_off_risk") >= HIGH_RISK)
+    return bundle.withColumn("outcome", F.when(suppressed, "suppressed").when(secret, "sensitive").otherwise("ok"))
+
+
+def fallbacks(candidates: DataFrame) -> DataFrame:
+    """How many candidates (reasons) were segmented by a fallback."""
+    return candidates.agg(F.count_if(F.exists("reasons", lambda r: r.startswith("segment:fallback:"))).alias("n"))
+
+
+def parse_markdown(document: Column, expected: Column) -> Column:
+    """A skill's text form read back: a struct of name, description and `problem`, the first thing that is wrong, null if nothing is."""
+    lines = F.transform(F.split(F.replace(document, F.lit("\r\n"), F.lit("\n")), "\n"), T.trim_white)
+    end = F.array_position(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), "---")
+    head = F.filter(F.slice(lines, 2, F.greatest((end - 1).cast("int"), F.lit(0))), lambda x: (x != "") & ~x.startswith("#"))
+    field = lambda x: T.trim_white(F.split_part(x, F.lit(":"), F.lit(1)))
+    value = lambda name: F.transform(F.filter(head, lambda x: field(x) == name), lambda x: T.trim_white(F.substring(x, F.locate(":", x) + 1, F.length(x))))
+    names, texts = value("name"), value("description")
+    name = F.regexp_replace(F.get(names, F.lit(0)), r'^"+|"+\z', "")
+    raw = F.get(texts, F.lit(0))
+    quoted = raw.startswith('"')
+    told = F.when(quoted, F.try_variant_get(F.try_parse_json(raw), "$", "string")).otherwise(raw)
+    body = F.array_join(F.slice(lines, (end + 2).cast("int"), F.greatest(F.size(lines), F.lit(1))), "")
+    problem = (
+        F.when(T.trim_white(F.coalesce(document, F.lit(""))) == "", "empty").when((F.size(lines) < 4) | (lines[0] != "---"), "no opening").when(end == 0, "no closing")
+        .when(F.exists(head, lambda x: ~x.contains(":")), "malformed line").when(F.exists(head, lambda x: ~field(x).isin("name", "description")), "unsupported key")
+        .when((F.size(names) != 1) | (F.get(names, F.lit(0)) == ""), "name").when((F.size(texts) != 1) | (raw == ""), "description").when(told.isNull(), "quoting")
+        .when((F.length(name) > SLUG_CHARS) | ~T.matches(name, R.SLUG), "slug").when((expected != "") & (name != expected), "other name")
+        .when((T.trim_white(told) == "") | (F.length(told) > 1024), "description").when(T.secret_count(document) > 0, "sensitive").when(T.trim_white(body) == "", "no body")
+    )
+    return F.struct(name.alias("name"), told.alias("description"), problem.alias("problem"))
+
+
+def extract_pending(messages: DataFrame, sessions: DataFrame, candidates: DataFrame, used: DataFrame, keys: list[str]) -> DataFrame:
+    """A candidate for each pending physical session: tool, session_id, source_path, slug, status (draft, rejected or failed), score.
+
+    Its transcript are the messages of all sessions of the tool whose ids start with the session's own. Ids are looked up by all their
+    prefixes, so that is an equi-join. A session without clean messages gives a failed candidate, so it is not tried again.
+    """
+    waiting = pending_sessions(sessions, candidates).select(*keys, "source_path")
+    ids = waiting.select(*keys).distinct()
+    known = messages.select(*keys).distinct()
+    prefixes = known.select("tool", F.col("session_id").alias("member"), F.explode(F.transform(F.sequence(F.lit(1), F.length("session_id")), lambda n: T.ascii_lower(F.substring(F.col("session_id"), F.lit(1), n)))).alias("prefix"))
+    met = ids.withColumn("prefix", T.ascii_lower(F.col("session_id"))).join(prefixes, ["tool", "prefix"]).select(*keys, "member")
+    absorbed = messages.withColumnRenamed("session_id", "member").join(met, ["tool", "member"])
+    made = bundles(absorbed, keys).select(*keys, "slug", F.when(F.col("disposition") == "suppress", "rejected").otherwise("draft").alias("status"), "score")
+    rows = waiting.join(made, keys, "left")
+    empty = cut_slug(T.slugify(F.concat(F.lit("empty-session-"), "session_id")))
+    rows = rows.withColumns({"status": F.coalesce("status", F.lit("failed")), "score": F.coalesce("score", F.lit(0.0))})
+    failed = rows.where("status = 'failed'").withColumn("slug", empty)
+    return unique_slugs(rows.where("status <> 'failed'"), used, [*keys, "source_path"]).unionByName(failed)
+
+
+def payload(bundle: DataFrame, columns: list[str]) -> DataFrame:
+    """Bundles with their JSON form in `payload`."""
+    return bundle.withColumn("payload", F.to_json(F.struct(*columns)))
+
+
+def from_payload(candidates: DataFrame, schema: str) -> DataFrame:
+    """Candidates with the bundle in their payload; null where that is no bundle."""
+    return candidates.withColumn("bundle", F.from_json("payload", schema))
+
+
 def bundles(messages: DataFrame, keys: list[str]) -> DataFrame:
     """One row per session with messages: the quality gate's columns, title, slug, trigger, risks and instructions."""
-    m = messages.where(F.lower("role").isin("user", "assistant") & (T.trim_white(F.col("text")) != "") & ~T.is_noise(F.col("text")))
+    m = clean_messages(messages)
     place = F.struct(F.coalesce("ts", F.lit(0.0)), "id")
     first = m.groupBy(*keys).agg(F.min_by(F.when(F.col("role") == "user", F.col("text")), F.when(F.col("role") == "user", place)).alias("first_user"))
     titles = session_rollup(messages).groupBy(*keys).agg(F.coalesce(F.min_by(F.when(F.col("title") != "", F.col("title")), F.when(F.col("title") != "", F.struct("created", "source_path"))), F.lit("")).alias("title"))
@@ -77,8 +253,8 @@ def unique_slugs(rows: DataFrame, used: DataFrame, order: list[str], slug: str =
     others = ranked.where(~free).drop("nth", "taken").withColumn("stem", stem(F.col(slug)))
     others = others.withColumn("nth", F.row_number().over(Window.partitionBy("stem").orderBy(slug, *order)))
     blocked = taken.select(F.col("taken").alias("name")).unionByName(rows.select(F.col(slug).alias("name"))).distinct()
-    blocked = blocked.withColumn("tail", F.regexp_extract("name", r"-([0-9]{1,7})\z", 1)).where("tail <> ''")
-    blocked = blocked.select(stem(F.regexp_replace("name", r"-[0-9]{1,7}\z", "")).alias("stem"), F.col("tail").cast("long").alias("number")).distinct()
+    blocked = blocked.withColumn("tail", F.regexp_extract("name", r"-([0-9]{1,18})\z", 1)).where("tail <> ''")
+    blocked = blocked.select(stem(F.regexp_replace("name", r"-[0-9]{1,18}\z", "")).alias("stem"), F.col("tail").cast("long").alias("number")).distinct()
     counts = others.groupBy("stem").agg(F.count("*").alias("n")).join(blocked.groupBy("stem").agg(F.count("*").alias("b")), "stem", "left")
     numbers = counts.select("stem", F.explode(F.sequence(F.lit(2).cast("long"), F.col("n") + F.coalesce("b", F.lit(0)) + 1)).alias("number")).join(blocked, ["stem", "number"], "left_anti")
     numbers = numbers.withColumn("nth", F.row_number().over(Window.partitionBy("stem").orderBy("number")))

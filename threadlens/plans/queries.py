@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,24 +10,10 @@ from ..functions import text as T
 from ..functions.timestamps import format_timestamp, timestamp_epoch
 from ..operators import candidates, commits, decisions, incremental, sessions, signals, skills, windows
 from ..operators.search import And, Near, Not, Or, Phrase, Term, matching_messages, search, search_enriched
+from .registry import KEYS, ORACLES, QUERIES, register
 from .search_sql import ROLLUP_SQL, TIME_SQL, TOKENS_SQL, condition_sql, quoted, search_sql
 from .tables import MESSAGES_SQL, TOOLS, messages, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-KEYS = ["tool", "session_id"]
-
-
-def register(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # Searches -------------------------------------------------------------------------------------------------------------------------
 
 SEARCHES: dict[str, tuple] = {
@@ -137,10 +121,14 @@ def title_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.title_from_text(F.col("text")).alias("title"))
 
 
-@register("SELECT doc_id, strlen(text) > 12288 AS was_cut, CASE WHEN strlen(text) <= 12288 THEN md5(text) END AS whole_md5 FROM documents")
+# 12288 bytes less 14 of the mark are kept, but no half of a character: the longest prefix of whole characters with at most that many bytes.
+@register(
+    """WITH c AS (SELECT doc_id, text, CASE WHEN strlen(text) > 12288 THEN list_filter(range(9200, 12275), lambda n: strlen(substr(text, 1, n::INT)) <= 12274)[-1] END AS n FROM documents)
+SELECT doc_id, n IS NOT NULL AS was_cut, md5(CASE WHEN n IS NULL THEN text ELSE substr(text, 1, n::INT) || '…[truncated]' END) AS cut_md5 FROM c"""
+)
 def truncate_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = T.truncate_bytes(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", (cut != F.col("text")).alias("was_cut"), F.when(cut == F.col("text"), F.md5(cut)).alias("whole_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", (cut != F.col("text")).alias("was_cut"), F.md5(cut).alias("cut_md5"))
 
 
 @register("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS time FROM events")
@@ -171,14 +159,18 @@ def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.secret_count(F.col("text")).alias("secrets"))
 
 
-@register("SELECT doc_id, length(text)::BIGINT AS width FROM documents")
+# Every third document gets wide characters and combining marks, every third page escape sequences; what they add and hide is known.
+@register("SELECT doc_id, length(text)::BIGINT + CASE WHEN doc_id % 3 = 0 THEN 9 ELSE 0 END AS width FROM documents")
 def display_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", T.display_width(F.col("text")).cast("long").alias("width"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("部署é́"), "text", F.lit("ｗ한"))).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.display_width(text).cast("long").alias("width"))
 
 
-@register(r"SELECT page_id, md5(trim(regexp_replace(html, '\s+', ' ', 'g'))) AS plain_md5 FROM pages")
+@register(r"SELECT page_id, md5(trim(regexp_replace(CASE WHEN page_id % 3 = 0 THEN 'red ' ELSE '' END || html || CASE WHEN page_id % 3 = 0 THEN ' end' ELSE '' END, '\s+', ' ', 'g'))) AS plain_md5 FROM pages")
 def plain_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.plain_field(F.col("html"))).alias("plain_md5"))
+    marked = F.concat(F.lit("\x1b[1;31mred\x1b[0m\t\x07"), "html", F.lit("\x1b]0;title\x07 \x1bMe\x00nd\x7f"))
+    text = F.when(F.col("page_id") % 3 == 0, marked).otherwise(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.plain_field(text)).alias("plain_md5"))
 
 
 _STRIP = "text"
@@ -196,9 +188,11 @@ def slugify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.slugify(F.col("url")).alias("slug"))
 
 
-@register("SELECT page_id, substr(url, 1, 12) AS short_id FROM pages")
+# Every second page has a UUID in its id.
+@register("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN printf('%08x', page_id) ELSE substr(url, 1, 12) END AS short_id FROM pages")
 def short_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", T.short_id(F.col("url")).alias("short_id"))
+    uuid = F.format_string("%08x-0000-4000-8000-0123456789ab", "page_id")
+    return table(spark, sf_dir, "pages").select("page_id", T.short_id(F.when(F.col("page_id") % 2 == 0, uuid).otherwise(F.col("url"))).alias("short_id"))
 
 
 @register(r"SELECT conv_id, turn, CASE WHEN length(s) > 240 THEN substr(s, 1, 239) || '…' ELSE s END AS summary FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS s FROM conversations)")
@@ -248,11 +242,6 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.quality_gate(signals.signal_bundle(messages(spark, sf_dir), KEYS))
 
 
-@register(f"SELECT conv_id, turn FROM conversations WHERE regexp_matches(text, {quoted(R.DECISION_CUE)})")
-def decision_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where(T.matches(F.col("text"), R.DECISION_CUE)).select("conv_id", "turn")
-
-
 # Windows --------------------------------------------------------------------------------------------------------------------------
 
 
@@ -397,24 +386,6 @@ def decision_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decisions.segments(messages(spark, sf_dir), KEYS).select("id", "ordinal", "segment")
 
 
-@register()
-def decision_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decisions.candidates(messages(spark, sf_dir), KEYS)
-    return found.select("decision_id", *KEYS, "at", "ordinal", F.array_join("options", "|").alias("options"), "chosen", "rationale", "confidence")
-
-
-@register()
-def decision_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = messages(spark, sf_dir)
-    return decisions.confirmations(m, decisions.candidates(m, KEYS), KEYS)
-
-
-@register()
-def decision_implementations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = messages(spark, sf_dir)
-    return decisions.implementations(m, decisions.candidates(m, KEYS), KEYS)
-
-
 @register(
     rf"""WITH {MESSAGES_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY tool, session_id ORDER BY ts, id) AS pos FROM m),
 e AS (SELECT id AS evidence_id, tool, session_id, CASE WHEN id % 2 = 0 THEN 'explicit' ELSE 'transcript' END AS kind, CASE WHEN id % 5 = 0 THEN substr(text, 3, 6) WHEN id % 7 = 0 THEN text || '~' ELSE substr(text, 3, 40) END AS quote, CASE WHEN id % 3 = 0 THEN 0 WHEN id % 3 = 1 THEN pos ELSE pos + 1 END AS pos FROM p),
@@ -475,3 +446,7 @@ def skill_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def decision_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidates.latest(_candidate_log(spark, sf_dir)).select("id", decisions.decision_state(F.col("status")).alias("state"))
+
+
+# The rest registers itself.
+from . import decision_queries, session_queries, store_queries  # noqa: E402, F401
