@@ -22,7 +22,7 @@ def made(spark, rows):
 
 @pytest.fixture(scope="module")
 def talk(spark):
-    return made(spark, [("one", "user", "alpha starts"), ("one", "assistant", "then beta"), ("two", "user", "Alpha beta gamma"), ("two", "assistant", "forbidden thing"), ("three", "user", "session only"), ("three", "assistant", "a finder"), ("four", "user", "部署完成 ✅ café")])
+    return made(spark, [("one", "user", "alpha starts"), ("one", "assistant", "then beta"), ("two", "user", "Alpha beta gamma"), ("two", "assistant", "forbidden thing"), ("three", "user", "quay only"), ("three", "assistant", "a lantern"), ("four", "user", "部署完成 ✅ café")])
 
 
 def found(df):
@@ -36,11 +36,11 @@ def found(df):
         (Term("alpha") & Term("beta"), {"two"}),
         (Near(Term("alpha"), Not(Term("beta"))), {"one"}),
         (Phrase("alpha beta"), {"two"}),
-        (Term("session-finder"), {"three"}),
+        (Term("quay-lantern"), {"three"}),
         (Term("✅"), {"four"}),
         (Term("部"), {"four"}),
         (Term("cafe"), {"four"}),
-        (Term("alpha") | Term("finder"), {"one", "two", "three"}),
+        (Term("alpha") | Term("lantern"), {"one", "two", "three"}),
     ],
 )
 def test_search(talk, condition, expected):
