@@ -105,7 +105,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
+#: What is read back of a conversation, from its rows: the template puts 24 characters round a message and escapes control strings by one.
+_CHAT_SQL = r"""
+WITH r AS (
+  SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '<|im_end|><|im_start|>assistant ok')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(24 + length(role) + length(text) + len(regexp_extract_all(text, '<\\*\|')))::BIGINT AS formatted_chars
+FROM r GROUP BY conv_id
+"""
+
+#: All pairs are compared, which the small tables allow.
+_EMBEDDING_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(e, e) > 0),
+link AS MATERIALIZED (SELECT a.r AS a, b.r AS b FROM good AS a JOIN good AS b ON a.r <> b.r AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT r AS node, r AS other FROM v UNION SELECT reach.node, link.b FROM reach JOIN link ON reach.other = link.a),
+named AS (SELECT node, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = other GROUP BY node),
+counted AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN named ON node = r LEFT JOIN counted ON a = r
+"""
+
 ORACLES: dict[str, str] = {
     "op1_mix_sources": mixing.MIX_SQL,
+    "op4_chat_formatting": _CHAT_SQL,
+    "op9_embedding_near_dedup": _EMBEDDING_SQL,
     "op6_shard_documents": sharding.shard_sql(SHARDS),
 }
