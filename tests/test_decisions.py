@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +89,32 @@ def test_evidence(spark):
     assert dict(rows_of(decisions.check_evidence(rows, talk, KEYS))) == {i: o for i, *_, o in asked}
 
 
+def test_evidence_anywhere(spark):
+    """Quotes that name no message, with and without white space in them, against a search of every message."""
+    rng = random.Random(5)
+    said = [("ab", "user", "".join(rng.choices("abcd 好\u00a0\n😀e\u0301", weights=[6, 6, 6, 6, 5, 3, 1, 2, 2, 2, 2], k=rng.randint(0, 60)))) for _ in range(60)]
+    talk = made(spark, [("a", "user" if i % 2 else "assistant", t) for i, (_, _, t) in enumerate(said)])
+    quotes = []
+    for _, _, text in said:
+        for _ in range(4):
+            start = rng.randint(0, len(text))
+            quotes.append(text[start : start + rng.randint(8, 30)] + ("x" if rng.random() < 0.2 else ""))
+    kinds = [rng.choice(["explicit", "transcript"]) for _ in quotes]
+    rows = [(i, "codex", "a" if i % 9 else "nobody", k, q, 0 if i % 2 else None) for i, (k, q) in enumerate(zip(kinds, quotes, strict=True))]
+
+    def outcome(kind, quote, session):
+        if len(quote.strip()) < 8:
+            return "too_short"
+        roles = {"user" if i % 2 else "assistant" for i, (_, _, t) in enumerate(said) if quote in t and session == "a"}
+        return "not_found" if not roles else "wrong_role" if kind == "explicit" and "user" not in roles else "ok"
+
+    frame = spark.createDataFrame(rows, "evidence_id long, tool string, session_id string, kind string, quote string, at int")
+    want = {i: outcome(k, q, s) for i, _, s, k, q, _ in rows}
+    assert dict(rows_of(decisions.check_evidence(frame, talk, KEYS))) == want
+    assert set(want.values()) == {"ok", "too_short", "not_found", "wrong_role"}
+    assert decisions.check_evidence(frame.limit(0), talk, KEYS).count() == 0
+
+
 def test_commits(spark, tmp_path):
     log = tmp_path / "log.txt"
     log.write_text("\x1eh1\x1fs1\x1fFirst\x1fAnn\x1f2024-01-01T00:00:00Z\n\nsrc/b.py\nsrc/a.py\nsrc/a.py\n\x1ebroken\n\x1eh2\x1fs2\x1fSecond\x1fBob\x1f2024-01-02T00:00:00Z\n\ndocs\n")

@@ -309,17 +309,41 @@ def implementations(messages: DataFrame, decided: DataFrame, keys: list[str], wi
     return latest.select("decision_id", *keys, "at", "ordinal", "quote", F.when(test, "test").otherwise("implementation").alias("kind"), F.when(done, "implemented").otherwise("unknown").alias("outcome"))
 
 
+def _holding(quotes: DataFrame, said: DataFrame, keys: list[str]) -> DataFrame:
+    """Quotes (keys, quote) with the places (at) of messages of their session that hold a piece of them: they may hold the quote.
+
+    The piece is what follows the quote's first white space, or where that is too short, what the quote begins with. Messages are cut
+    into pieces at their white space; in sessions of quotes of the second kind, at each character.
+    """
+    piece = rf"(?s)(?=(.{{{P.LEAST_QUOTE}}}))"
+    after_white = F.regexp_extract("quote", rf"(?s)\s(?=(.{{{P.LEAST_QUOTE}}}))", 1)
+    asked = quotes.select(*keys, "quote", (after_white == "").alias("anywhere"), F.when(after_white == "", F.regexp_extract("quote", piece, 1)).otherwise(after_white).alias("piece"))
+
+    def pieces(messages: DataFrame, pattern: str, anywhere: bool) -> DataFrame:
+        found = F.array_distinct(F.regexp_extract_all("m_text", F.lit(pattern), 1))
+        return messages.select(*keys, "at", F.lit(anywhere).alias("anywhere"), F.explode(found).alias("piece"))
+
+    some, all_of = asked.where("NOT anywhere").select(*keys), asked.where("anywhere").select(*keys)
+    at_words = pieces(said.join(some, keys, "left_semi"), rf"(?<=\s){piece}", False)
+    at_all = pieces(said.join(all_of, keys, "left_semi"), piece, True)
+    return asked.join(at_words.unionAll(at_all), [*keys, "anywhere", "piece"]).select(*keys, "quote", "at")
+
+
 def check_evidence(evidence: DataFrame, messages: DataFrame, keys: list[str]) -> DataFrame:
     """Evidence (evidence_id, keys, kind, quote, at) with an outcome: ok, too_short, not_found or wrong_role.
 
     A quote must stand in a message as it is: in message number `at`, or in any where `at` is 0. Explicit evidence must be the user's.
+    Quotes of the second kind look up the messages of their session that hold a piece of them, so only these are searched.
     """
-    said = place(messages, keys).select(*keys, F.col("at").alias("m_at"), F.lower(F.trim("role")).alias("m_role"), F.col("text").alias("m_text"))
+    said = place(messages, keys).select(*keys, "at", F.lower(F.trim("role")).alias("m_role"), F.col("text").alias("m_text"))
     long_enough = F.length(T.trim_white(F.coalesce("quote", F.lit("")))) >= P.LEAST_QUOTE
     asked = evidence.where(long_enough)
-    pinned = asked.where("at > 0").join(said.withColumnRenamed("m_at", "at"), [*keys, "at"])
-    free = asked.where("coalesce(at, 0) <= 0").join(said.drop("m_at"), keys)
-    hits = pinned.select("evidence_id", "quote", "m_role", "m_text").unionByName(free.select("evidence_id", "quote", "m_role", "m_text")).where(F.col("m_text").contains(F.col("quote")))
+    free = asked.where("coalesce(at, 0) <= 0")
+    wanted = _holding(free.select(*keys, "quote").distinct(), said, keys)
+    found_at = free.drop("at").join(wanted, [*keys, "quote"])
+    spots = asked.where("at > 0").select("evidence_id", *keys, "quote", F.col("at").cast("long").alias("at"))
+    spots = spots.unionByName(found_at.select("evidence_id", *keys, "quote", F.col("at").cast("long").alias("at")))
+    hits = spots.join(said.withColumn("at", F.col("at").cast("long")), [*keys, "at"]).where(F.col("m_text").contains(F.col("quote")))
     found = hits.groupBy("evidence_id").agg(F.bool_or(F.coalesce(F.col("m_role") == "user", F.lit(False))).alias("by_user"))
     explicit = F.coalesce(F.lower(F.trim("kind")) == "explicit", F.lit(False))
     outcome = F.when(~long_enough, "too_short").when(F.col("by_user").isNull(), "not_found").when(explicit & ~F.col("by_user"), "wrong_role").otherwise("ok")
