@@ -1,7 +1,7 @@
 """Readers of session transcripts in JSON lines: one per tool, all giving the same message rows.
 
 Lines are read with their place in the file, filtered by a substring before they are parsed, and parsed as variants; lines that are
-no JSON objects are dropped. Values that later lines inherit are filled forward along the file.
+no JSON objects are dropped. Values that later lines inherit are filled forward along the file. Long files are read by several tasks.
 """
 
 from __future__ import annotations
@@ -18,9 +18,14 @@ COLUMNS = ["tool", "session_id", "cwd", "title", "ts", "role", "text", "source_p
 
 
 def lines(spark: SparkSession, paths: list[str] | str, hint: str) -> DataFrame:
-    """source_path, line and v, the parsed line, of the lines that contain `hint`."""
-    whole = spark.read.text(paths, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("source_path"), F.split("value", "\n").alias("all"))
-    each = whole.select("source_path", F.posexplode("all").alias("line", "raw"))
+    """source_path, line and v, the parsed line, of the lines that contain `hint`.
+
+    `line` is text that sorts as the lines of a file do: the start of a line's block in the file, then its row in the task that reads
+    the block. It says nothing else, and changes where files are split elsewhere.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    line = F.concat(F.lpad(F.hex("_metadata.file_block_start"), 12, "0"), F.lpad(F.hex(row), 9, "0"))
+    each = spark.read.text(paths, lineSep="\n", recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("source_path"), line.alias("line"), F.col("value").alias("raw"))
     parsed = each.select("source_path", "line", F.when(F.col("raw").contains(hint), F.try_parse_json("raw")).alias("v"))
     return parsed.where(F.schema_of_variant("v").startswith("OBJECT"))
 
