@@ -11,7 +11,7 @@ from threadlens.operators import candidates, incremental, signals
 from threadlens.operators.search import Near, Not, Phrase, Term, positive_terms, search
 from threadlens.sources.jsonl import read_claude, read_codex, read_grok, read_kimi
 from threadlens.sources.opencode import read_opencode
-from threadlens.streaming.refresh import read_table, refresh
+from threadlens.streaming.refresh import read_table, rebuild, refresh, vacuum
 
 MESSAGE = "id long, tool string, session_id string, source_path string, cwd string, ts double, role string, text string"
 
@@ -138,6 +138,30 @@ def test_refresh_is_idempotent(spark, tmp_path):
         for _ in range(2):
             refresh(spark, inbox, schema, target, point)
     assert {(r.source_path, r.text) for r in read_table(spark, target).collect()} == {("a", "2"), ("b", "1")}
+    assert vacuum(spark, target) == 1 and vacuum(spark, target) == 0
+    assert {(r.source_path, r.text) for r in read_table(spark, target).collect()} == {("a", "2"), ("b", "1")}
+    rebuild(spark.createDataFrame([("c", "1")], schema), target)
+    spark.createDataFrame([("d", "1"), (None, "1")], schema).coalesce(1).write.mode("append").parquet(inbox)
+    refresh(spark, inbox, schema, target, point)
+    assert {(r.source_path, r.text) for r in read_table(spark, target).collect()} == {("c", "1"), ("d", "1"), (None, "1")}
+    with pytest.raises(Exception, match="buckets"):
+        spark.createDataFrame([("d", "2")], schema).coalesce(1).write.mode("append").parquet(inbox)
+        refresh(spark, inbox, schema, target, point, buckets=7)
+
+
+def test_long_files_are_read_in_order_by_several_tasks(spark, tmp_path):
+    rows = [{"type": "session_meta", "payload": {"id": f"s{i // 50}"}} if i % 50 == 0 else {"type": "response_item", "payload": {"type": "message", "role": "user", "content": f"m{i}"}} for i in range(2000)]
+    (tmp_path / "long.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\n")
+    (tmp_path / "short.jsonl").write_text(json.dumps(rows[0]) + "\n\n" + json.dumps(rows[1]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = read_codex(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    long = sorted((r for r in got if r.source_path.endswith("long.jsonl")), key=lambda r: r.line)
+    assert [(r.session_id, r.text) for r in long] == [(f"s{i // 50}", f"m{i}") for i in range(2000) if i % 50]
+    assert [(r.session_id, r.text) for r in got if r.source_path.endswith("short.jsonl")] == [("s0", "m1")]
 
 
 def test_entry_point(spark):

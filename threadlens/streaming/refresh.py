@@ -1,4 +1,8 @@
-"""Incremental refresh as a file stream: each run reads the transcript files that it has not seen, and ends."""
+"""Incremental refresh as a file stream: each run reads the transcript files that it has not seen, and ends.
+
+A table is a folder of versions, each of which holds some of the table's buckets, by hash of the source. A batch writes anew only the
+buckets that its sources fall into, so its cost follows what arrives; the table is the newest folder of every bucket.
+"""
 
 from __future__ import annotations
 
@@ -7,32 +11,91 @@ from pyspark.sql import functions as F
 
 from ..operators.incremental import replace_sources
 
+#: Buckets of a table; a table keeps the number it was made with.
+BUCKETS = 64
+BUCKET, FULL = "threadlens_bucket", "-full"
+
 
-def refresh(spark: SparkSession, inbox: str, schema: str, target: str, checkpoint: str, *, key: str = "source_path") -> None:
+def refresh(spark: SparkSession, inbox: str, schema: str, target: str, checkpoint: str, *, key: str = "source_path", buckets: int = BUCKETS) -> None:
     """Messages in Parquet files that arrive in `inbox` replace those of the same source in the table at `target`.
 
-    A batch is written beside the table as a version of its own, named by its number, so a repeated batch writes the same version again.
+    A batch is written as a version of its own, named by its number, so a repeated batch writes the same version again.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        old = read_table(spark, target, below=number)
-        new = batch if old is None else replace_sources(old, batch, key)
-        new.write.mode("overwrite").parquet(f"{target}/version={number:010d}")
+        batch = _bucketed(batch, key, buckets)
+        touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]  # at most as many as there are buckets
+        there = _newest(spark, target, below=number)
+        if any(b.rpartition("-")[2] != str(buckets) for b in there):
+            raise ValueError(f"{target} was not made with {buckets} buckets")
+        old = [there[b] for b in touched if b in there]
+        new = replace_sources(_bucketed(spark.read.parquet(*old), key, buckets), batch, key) if old else batch
+        _write(new, f"{target}/version={number:010d}")
 
     stream = spark.readStream.schema(schema).parquet(inbox).writeStream.foreachBatch(merge)
     stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def rebuild(messages: DataFrame, target: str, *, key: str = "source_path", buckets: int = BUCKETS) -> None:
+    """The table at `target` is these messages alone from now on; later refreshes go on from there. Not to be called during a refresh."""
+    numbers = [n for n, _, _ in _versions(messages.sparkSession, target)]
+    _write(_bucketed(messages, key, buckets), f"{target}/version={max(numbers, default=-1):010d}{FULL}")
+
+
 def read_table(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
-    """The newest version of the table, or None where there is none."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    numbers = sorted(int(n.split("=")[1]) for n in names if n.startswith("version=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS")))
-    numbers = [n for n in numbers if below is None or n < below]
-    return spark.read.parquet(f"{target}/version={numbers[-1]:010d}") if numbers else None
+    """The table as of its newest version, or the newest before version `below`; None where it has no rows."""
+    there = _newest(spark, target, below)
+    return spark.read.parquet(*there.values()) if there else None
+
+
+def vacuum(spark: SparkSession, target: str) -> int:
+    """Delete the folders of buckets that newer versions replace, and their number. Not to be called while the table is read or refreshed."""
+    keep = set(_newest(spark, target).values())
+    old = [path for _, _, version in _versions(spark, target) for path in _buckets(spark, version).values() if path not in keep]
+    for path in old:
+        fs, folder = _folder(spark, path)
+        fs.delete(folder, True)
+    return len(old)
+
+
+def _bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
+    return rows.withColumn(BUCKET, F.concat(F.pmod(F.xxhash64(key), F.lit(buckets)), F.lit(f"-of-{buckets}")))
+
+
+def _write(rows: DataFrame, path: str) -> None:
+    # Rebalancing splits a bucket with one large source among tasks, where plain repartitioning would not.
+    rows.hint("rebalance", F.col(BUCKET)).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def _children(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    fs, folder = _folder(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return sorted(n.removeprefix(prefix) for n in names if n.startswith(prefix))
+
+
+def _versions(spark: SparkSession, target: str) -> list[tuple[int, bool, str]]:
+    """Number, whether it is a rebuilt one, and path of the complete versions, in order."""
+    found = [(int(n.removesuffix(FULL)), n.endswith(FULL), f"{target}/version={n}") for n in _children(spark, target, "version=")]
+    return sorted(v for v in found if _children(spark, v[2], "_SUCCESS"))
+
+
+def _buckets(spark: SparkSession, version: str) -> dict[str, str]:
+    return {b: f"{version}/{BUCKET}={b}" for b in _children(spark, version, f"{BUCKET}=")}
+
+
+def _newest(spark: SparkSession, target: str, below: int | None = None) -> dict[str, str]:
+    """The newest folder of each bucket."""
+    there: dict[str, str] = {}
+    for number, full, version in _versions(spark, target):
+        if below is None or number < below:
+            there = {} if full else there
+            there |= _buckets(spark, version)
+    return there
 
 
 def session_activity(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
