@@ -119,6 +119,8 @@ def test_training_order(spark, docs, empty):
     assert sorted(materialize.read_shards(spark, path, (30, 120)).collect()) == rows[30:120]
     with pytest.raises(ValueError):
         materialize.write_shards(docs, tokenizer, path, length=32, shard_slots=50, resume=True)
+    with pytest.raises(ValueError):  # as many sequences, of other documents
+        materialize.write_shards(docs.withColumn("doc_id", F.col("doc_id") + 1), tokenizer, path, length=64, shard_slots=50, resume=True)
     assert materialize.write_shards(empty, tokenizer, stage_path(spark, "shards"))["sequences"] == 0
 
 

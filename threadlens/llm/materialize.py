@@ -7,12 +7,13 @@ dealt by ranges, a shard being `shard_slots` of them, and every slot has the sam
 arithmetic and training reads files from start to end, in random order, and resumes anywhere.
 
 The number of a row's first sequence needs the counts before it: a first pass counts sequences per input partition (one number
-each comes to the driver), a second one encodes again and sends each sequence straight to its shard. Encoding twice is cheaper than
+and one digest each come to the driver), a second one encodes again and sends each sequence straight to its shard. Encoding twice is cheaper than
 keeping the tokens in between, and the network moves them once. Both passes must see the same rows in the same partitions, as scans
 of a table do; stage() other frames first.
 
 A shard is written under a temporary name and renamed, and a repeated attempt writes the same bytes, so lost executors cost only
-their tasks. With resume=True, shards that are there in full length are left as they are.
+their tasks. With resume=True, shards that are there in full length are left as they are; the manifest holds a digest of all ids and
+texts in order, so that shards of other rows are refused.
 
 A slot's bytes: document id (int64), number of the sequence in its document (int32), number of tokens (int32), then `length` tokens
 (uint16 below 65,536 ids, else uint32), the unused ones being the end token. All are little-endian.
@@ -26,6 +27,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import struct
 import uuid
 from array import array
 from collections.abc import Iterator
@@ -35,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import tiktoken
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,17 +97,26 @@ def _sequences(tokenizer: str, length: int, texts: list[bytes]) -> Iterator[tupl
             yield i, tokens[at : at + length]
 
 
-def _count(rows: DataFrame, tokenizer: str, length: int) -> list[int]:
+def _count(rows: DataFrame, tokenizer: str, length: int) -> tuple[list[int], str]:
+    """The number of sequences of each partition, and a digest of all ids and texts in their order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
+        n, seen = 0, xxhash.xxh3_128()
         encoding = _encoding(tokenizer)
         for batch in batches:
+            row = 0
             for texts in text_slices(batch.column("text")):
-                n += sum(len(encoding.encode_ordinary(t.decode())) // length + 1 for t in texts)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
+                ids = batch.column("id").slice(row, len(texts)).fill_null(NO_ID).to_numpy()
+                row += len(texts)
+                for i, t in zip(ids.tolist(), texts, strict=True):
+                    seen.update(struct.pack("<qQ", i, len(t)))
+                    seen.update(t)
+                    n += len(encoding.encode_ordinary(t.decode())) // length + 1
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64()), "seen": pa.array([seen.digest()])})
 
-    counted = {r.part: r.n for r in rows.select("text").mapInArrow(run, "part int, n long").collect()}
-    return [counted.get(i, 0) for i in range(max(counted, default=-1) + 1)]
+    counted = {r.part: r for r in rows.mapInArrow(run, "part int, n long, seen binary").collect()}
+    numbers = [counted[i].n if i in counted else 0 for i in range(max(counted, default=-1) + 1)]
+    return numbers, hashlib.sha256(b"".join(bytes(counted[i].seen) for i in sorted(counted) if counted[i].n)).hexdigest()
 
 
 def write_shards(
@@ -113,12 +125,12 @@ def write_shards(
     """Writes the shards and a manifest to `path`, a folder that all executors share; returns the manifest."""
     spark = docs.sparkSession
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    per_part = _count(rows, tokenizer, length)
+    per_part, digest = _count(rows, tokenizer, length)
     first = np.concatenate([[0], np.cumsum(per_part)]).astype(np.int64)
     n = int(first[-1])
     vocab = _encoding(tokenizer).n_vocab
     wide = "<u2" if vocab < 1 << 16 else "<u4"
-    manifest = {"sequences": n, "length": length, "shard_slots": shard_slots, "key": key, "token": wide, "end": vocab, "stride": 16 + length * np.dtype(wide).itemsize, "shards": -(-n // shard_slots)}
+    manifest = {"sequences": n, "length": length, "shard_slots": shard_slots, "key": key, "token": wide, "end": vocab, "stride": 16 + length * np.dtype(wide).itemsize, "shards": -(-n // shard_slots), "rows": digest}
     fs, root = open_folder(path)
     fs.create_dir(root, recursive=True)
     note = f"{root}/manifest.json"
