@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embedding_dedup, materialize, mixing, quality_classifier, quality_rules, sharding, simhash, substring
+from . import alignment, bpe, chat, embedding_dedup, materialize, mixing, quality_classifier, quality_rules, sharding, simhash, sketches, spelling, substring
 from .common import stage_path, table
 
 #: Production parameters of the sharding query.
@@ -92,6 +92,32 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, model).withColumnRenamed("id", "doc_id")
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likeness of every document to a text that shares its first half, and to the next document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = sketches.with_next(sketches.fingerprints(docs), ["text", "sketch"])
+    rows = rows.withColumn("edited", sketches.edited(F.col("text"), F.col("next.text"))).withColumn("edited_sketch", sketches.sketch(F.col("edited")))
+    return rows.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        sketches.digits(F.col("sketch")).alias("fingerprint"),
+        sketches.digits(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketches.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        sketches.likeness(F.col("sketch"), F.col("next.sketch")).alias("near_next"),
+    )
+
+
+def op12_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = alignment.align_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -103,6 +129,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_encode_decode": op8_bpe_encode_decode,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_document_fingerprints": op11_document_fingerprints,
+    "op12_align_tokenizers": op12_align_tokenizers,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: What is read back of a conversation, from its rows: the template puts 24 characters round a message and escapes control strings by one.
@@ -133,4 +162,5 @@ ORACLES: dict[str, str] = {
     "op4_chat_formatting": _CHAT_SQL,
     "op9_embedding_near_dedup": _EMBEDDING_SQL,
     "op6_shard_documents": sharding.shard_sql(SHARDS),
+    "op13_spelling_variants": spelling.VARIANTS_SQL,
 }
