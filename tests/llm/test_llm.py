@@ -1,16 +1,19 @@
 import hashlib
 import random
 import re
+import resource
+import time
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from threadlens.llm import bpe, chat, crf, embedding_dedup, materialize, mixing, near_copies, quality_classifier, quality_rules, sharding, simhash, substring
+from threadlens.llm import bpe, chains, chat, crf, embedding_dedup, materialize, mixing, near_copies, quality_classifier, quality_rules, sharding, simhash, substring
 from threadlens.llm.common import stage_path
 from threadlens.llm.components import connected_components
 
@@ -222,13 +225,71 @@ def test_field_against_enumeration():
     texts = [b"Some line.\nA | b | c\n\nOTHER!! LINE!!", b"one", b"", b"x x x\ny y\nz\nA b c d e"]
     lines = crf.line_features(texts)
     model = crf.LineModel(np.zeros(crf.FEATURES), np.ones(crf.FEATURES), g.standard_normal(crf.FEATURES), g.standard_normal((2, 2)))
-    marginals, labels, at = model.marginals(lines), model.viterbi(lines), 0
+    marginals, labels, at = model.marginals(model.of(lines)), model.viterbi(model.of(lines)), 0
     for k in lines.per_text:
         want, best = brute_marginals(model._emissions(lines.x[at : at + k]), np.exp(model.pairs))
         assert np.allclose(marginals[at : at + k], want) and tuple(labels[at : at + k]) == best
         at += k
 
 
+def step_by_step(odds, pairs):
+    """Marginals and best labels of one chain, place by place, and how far apart the two best labels ever are."""
+    psi, n = np.exp(np.stack([-odds / 2, odds / 2], 1)), len(odds)
+    alpha, beta, best, back = psi.copy(), np.ones((n, 2)), np.log(psi), np.zeros((n, 2), int)
+    for t in range(n):
+        if t:
+            alpha[t] *= alpha[t - 1] @ np.exp(pairs)
+            each = best[t - 1][:, None] + pairs
+            back[t], best[t] = each.argmax(0), best[t] + each.max(0)
+        alpha[t] /= alpha[t].sum()
+    for t in range(n - 1, 0, -1):
+        beta[t - 1] = np.exp(pairs) @ (psi[t] * beta[t])
+        beta[t - 1] /= beta[t - 1].sum()
+    labels = [int(best[-1].argmax())]
+    for t in range(n - 1, 0, -1):
+        labels.append(int(back[t, labels[-1]]))
+    return (alpha * beta)[:, 1] / (alpha * beta).sum(1), labels[::-1]
+
+
+@pytest.mark.parametrize(("chain", "work"), [(1, 4), (3, 40), (1024, 1 << 18)])
+def test_long_chains_in_blocks(monkeypatch, chain, work):
+    monkeypatch.setattr(chains, "CHAIN", chain)
+    monkeypatch.setattr(chains, "WORK", work)
+    g = np.random.default_rng(chain)
+    per_chain = np.array([1, 2, 7, 64, 65, 500, 1, 3000, 1025])
+    odds, pairs = g.standard_normal(per_chain.sum()) * 3, g.standard_normal((2, 2))
+    got, labels, at = chains.marginals(odds, pairs, per_chain), chains.viterbi(odds, pairs, per_chain), 0
+    for n in per_chain:
+        want, best = step_by_step(odds[at : at + n], pairs)
+        assert np.allclose(got[at : at + n], want) and labels[at : at + n].tolist() == best
+        at += n
+
+
+def test_features_of_long_texts_in_pieces(monkeypatch):
+    g = random.Random(4)
+    text = "\n".join(g.choice(["", "a b", "ÀB c!", "x x | 1", "a b"]) for _ in range(200)).encode()
+    for lines in (1, 7, 200, 1000):
+        monkeypatch.setattr(crf, "SLICE_LINES", lines)
+        x, size = (np.concatenate(c) for c in zip(*crf._features_in_pieces(text), strict=True))
+        whole = crf.line_features([text])
+        assert np.array_equal(x, whole.x) and np.array_equal(size, whole.size)
+        assert [len(p) for p in crf.slices(pa.array([text.decode(), None, "a\nb", "c"]))][0] in (1, 4)
+
+
+@pytest.mark.parametrize("text", ["\n" * 4_000_000, "ab\nc d\n" * 500_000])
+def test_megabytes_of_short_lines(text):
+    """Scores, labels and the verdict on a text of millions of lines, in bounded memory and time; nothing depends on the number of lines."""
+    g = np.random.default_rng(2)
+    model = crf.LineModel(np.zeros(crf.FEATURES), np.ones(crf.FEATURES), g.standard_normal(crf.FEATURES) / 9, g.standard_normal((2, 2)))
+    start, before = time.process_time(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    read = model.read(next(crf.slices(pa.array([text]))))
+    good, labels = model.marginals(read), model.viterbi(read)
+    assert len(good) == len(labels) == text.count("\n") + 1 and np.isfinite(good).all()
+    assert 0 <= model.scores(read)[0] <= 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1 << 20  # kB
+    assert time.process_time() - start < 60  # some 10 s on an idle machine
+
+
 def test_quality(spark, empty):
     good = ["\n".join(words(12).capitalize() + "." for _ in range(rng.randint(2, 9))) for _ in range(120)]
     bad = ["\n".join(" | ".join(words(12).split()) for _ in range(rng.randint(2, 9))) for _ in range(60)] + [("SHOUT!! " * 60).strip() for _ in range(60)]

@@ -5,7 +5,8 @@ has one weight for each of these and one for each pair of labels of consecutive
 documents, every line of which takes the label of its document; lines of a kind that both sorts of documents have end up undecided
 and follow their neighbours.
 
-All work is done in numpy over the lines of many texts at once; the chain is walked position by position for all texts together.
+All work is done in numpy over the lines of many texts at once. Texts are read in slices bounded by their lines as well as by their bytes;
+of a text with more lines than that, the features are made and turned into log-odds piece by piece, and chains.py walks it in blocks.
 """
 
 from __future__ import annotations
@@ -19,13 +20,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage, text_slices
+from . import chains
+from .common import SLICE_BYTES, stage, text_slices
 
 #: Labelled documents that a model is fitted on, at most; the most lines that one of these may have; the most lines of all together.
 SAMPLE_DOCUMENTS = 4000
 SAMPLE_LINES = 2000
 SAMPLE_TOTAL_LINES = 300_000
 
+#: Lines whose features are held at a time, each about 1 kB.
+SLICE_LINES = 1 << 16
+
 #: Byte classes: 0 lower case and beyond ASCII, 1 upper case, 2 digits, 3 white space, 4 junk symbols, 5 ! and ?, 6 others.
 _CLASSES = np.zeros(256, np.int64)
 _CLASSES[:128] = 6
@@ -49,7 +54,32 @@ class Lines:
     per_text: np.ndarray
 
 
-def line_features(texts: list[bytes]) -> Lines:
+@dataclass
+class Read:
+    """The lines of some texts as the chain sees them: log-odds of label 1, length in bytes, and the number of lines of each text."""
+
+    odds: np.ndarray
+    size: np.ndarray
+    per_text: np.ndarray
+
+
+def slices(texts: pa.Array) -> Iterator[list[bytes]]:
+    """Consecutive texts of about SLICE_BYTES and at most SLICE_LINES lines; one longer text stands alone."""
+    for part in text_slices(texts, SLICE_BYTES):
+        held: list[bytes] = []
+        lines = 0
+        for text in part:
+            more = text.count(b"\n") + 1
+            if held and lines + more > SLICE_LINES:
+                yield held
+                held, lines = [], 0
+            held.append(text)
+            lines += more
+        yield held
+
+
+def _own_features(texts: list[bytes], seen: set[bytes] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What lines are like by themselves, without first and last ones; `seen` holds earlier lines of the only text."""
     split = [t.split(b"\n") for t in texts]
     per_text = np.array([len(s) for s in split])
     raw = np.frombuffer(b"\n".join(texts), np.uint8)
@@ -67,7 +97,7 @@ def line_features(texts: list[bytes]) -> Lines:
         own[:, i] = counts[:, k] / letters
     at = 0
     for part in split:
-        seen: set[bytes] = set()
+        earlier: set[bytes] = set() if seen is None else seen
         for s in part:
             words = s.split()
             m = len(words)
@@ -77,10 +107,15 @@ def line_features(texts: list[bytes]) -> Lines:
                 row[6] = len(s) / m
                 row[7] = sum(map(eq, words, words[1:])) / m
                 row[8] = 1 - len(set(words)) / m
-                row[9] = s in seen
-                seen.add(s)
+                row[9] = s in earlier
+                earlier.add(s)
             at += 1
     own[:, 10] = size == 0
+    return own, size, per_text
+
+
+def line_features(texts: list[bytes]) -> Lines:
+    own, size, per_text = _own_features(texts)
     first = np.cumsum(per_text) - per_text
     own[first, 11] = 1
     own[first + per_text - 1, 12] = 1
@@ -88,7 +123,37 @@ def line_features(texts: list[bytes]) -> Lines:
     before[1:], after[:-1] = own[:-1], own[1:]
     before[first] = 0
     after[first + per_text - 1] = 0
-    return Lines(np.hstack([own, before, after, np.ones((n, 1))]), size, per_text)
+    return Lines(np.hstack([own, before, after, np.ones((len(own), 1))]), size, per_text)
+
+
+def _pieces(text: bytes) -> Iterator[tuple[bytes, bool]]:
+    """A text without the line feeds between pieces of at most SLICE_LINES lines and, unless a line is longer, SLICE_BYTES; whether it is the last."""
+    start = at = lines = 0
+    while (end := text.find(b"\n", at)) >= 0:
+        lines += 1
+        if lines == SLICE_LINES or end - start >= SLICE_BYTES:
+            yield text[start:end], False
+            start, lines = end + 1, 0
+        at = end + 1
+    yield text[start:], True
+
+
+def _features_in_pieces(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The features of line_features([text]) and the lengths of lines, piece by piece; a piece waits for the first line of the next."""
+    seen: set[bytes] = set()
+    held, held_size, last = None, None, np.zeros((1, OWN_FEATURES))
+
+    def whole(own: np.ndarray, after: np.ndarray) -> np.ndarray:
+        return np.hstack([own, np.vstack([last, own[:-1]]), np.vstack([own[1:], after]), np.ones((len(own), 1))])
+
+    for piece, ends in _pieces(text):
+        own, size, _ = _own_features([piece], seen)
+        own[0, 11], own[-1, 12] = held is None, ends
+        if held is not None:
+            yield whole(held, own[:1]), held_size
+            last = held[-1:]
+        held, held_size = own, size
+    yield whole(held, np.zeros((1, OWN_FEATURES))), held_size
 
 
 class _Walk:
@@ -116,39 +181,39 @@ class LineModel:
     pairs: np.ndarray
     scale: tuple[float, float] = (1.0, 0.0)
 
+    def _odds(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.deviation @ self.weights, -30, 30)
+
     def _emissions(self, x: np.ndarray) -> np.ndarray:
-        good = np.clip((x - self.mean) / self.deviation @ self.weights, -30, 30)
+        good = self._odds(x)
         return np.stack([np.exp(-good / 2), np.exp(good / 2)], 1)
 
-    def marginals(self, lines: Lines) -> np.ndarray:
+    def read(self, texts: list[bytes]) -> Read:
+        """The lines of a slice of texts (see slices())."""
+        if len(texts) > 1 or not texts or texts[0].count(b"\n") < SLICE_LINES and len(texts[0]) <= 2 * SLICE_BYTES:
+            return self.of(line_features(texts))
+        parts = [(self._odds(x), size) for x, size in _features_in_pieces(texts[0])]
+        odds, size = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return Read(odds, size, np.array([len(odds)]))
+
+    def of(self, lines: Lines) -> Read:
+        return Read(self._odds(lines.x), lines.size, lines.per_text)
+
+    def marginals(self, lines: Read) -> np.ndarray:
         """The probability of label 1 for each line, by forward and backward passes."""
-        alpha, beta, _ = _forward_backward(self._emissions(lines.x), np.exp(self.pairs), _Walk(lines.per_text))
-        both = alpha * beta
-        return both[:, 1] / both.sum(1)
+        return chains.marginals(lines.odds, self.pairs, lines.per_text)
 
-    def viterbi(self, lines: Lines) -> np.ndarray:
+    def viterbi(self, lines: Read) -> np.ndarray:
         """The most probable labels of each text's lines together."""
-        walk, local = _Walk(lines.per_text), np.log(self._emissions(lines.x))
-        best, back = local.copy(), np.zeros(local.shape, np.int8)
-        for t in range(1, walk.longest):
-            rows = walk.rows(t)
-            each = best[rows - 1][:, :, None] + self.pairs
-            back[rows] = each.argmax(1)
-            best[rows] = each.max(1) + local[rows]
-        labels = np.zeros(len(local), np.int8)
-        labels[walk.last] = best[walk.last].argmax(1)
-        for t in range(walk.longest - 1, 0, -1):
-            rows = walk.rows(t)
-            labels[rows - 1] = back[rows, labels[rows]]
-        return labels
-
-    def share(self, good: np.ndarray, lines: Lines) -> np.ndarray:
+        return chains.viterbi(lines.odds, self.pairs, lines.per_text)
+
+    def share(self, good: np.ndarray, lines: Read) -> np.ndarray:
         """Per text, the mean of `good` over its lines, weighted by their lengths."""
         weight = lines.size + 1.0
         first = np.cumsum(lines.per_text) - lines.per_text
         return np.add.reduceat(good * weight, first) / np.add.reduceat(weight, first)
 
-    def scores(self, lines: Lines) -> np.ndarray:
+    def scores(self, lines: Read) -> np.ndarray:
         share = np.clip(self.share(self.marginals(lines), lines), 1e-6, 1 - 1e-6)
         a, b = self.scale
         return 1 / (1 + np.exp(-(a * np.log(share / (1 - share)) + b)))
@@ -195,7 +260,8 @@ def fit(lines: Lines, labels: np.ndarray, steps: int = 250, penalty: float = 1e-
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         theta = theta + 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     model.weights, model.pairs = theta[:FEATURES], np.clip(theta[FEATURES:].reshape(2, 2), -4, 4)
-    share = np.clip(model.share(model.marginals(lines), lines), 1e-6, 1 - 1e-6)
+    read = model.of(lines)
+    share = np.clip(model.share(model.marginals(read), read), 1e-6, 1 - 1e-6)
     z, a, b = np.log(share / (1 - share)), 1.0, 0.0
     for _ in range(50):  # Newton steps of a logistic regression of the labels on the shares
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
@@ -217,11 +283,14 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
         .limit(limit)
     )
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(drawn), F.col("id") == F.col("label_id")).select("label_id", "label", "text")
+    # Texts of too many lines are left out before their features are made.
+    whole = F.coalesce("text", F.lit(""))
+    texts = texts.where(F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) < SAMPLE_LINES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for part in text_slices(batch.column("text")):
+            for part in slices(batch.column("text")):
                 label_id, label = (batch.column(c).slice(at, len(part)) for c in ("label_id", "label"))
                 at += len(part)
                 lines = line_features(part)
@@ -231,7 +300,7 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays([label_id, label, pa.array(x, pa.binary()), pa.array(size, pa.binary())], ["label_id", "label", "x", "size"])
 
     id_type = texts.schema["label_id"].dataType.simpleString()
-    found = texts.mapInArrow(run, f"label_id {id_type}, label int, x binary, size binary").where(F.length("size") <= 8 * SAMPLE_LINES)
+    found = texts.mapInArrow(run, f"label_id {id_type}, label int, x binary, size binary")
     # One text for each label drawn, however many rows have its id; of these, in the order drawn, as many as the driver has room for.
     ones = stage(found.groupBy("label_id", "label").agg(F.min(F.struct("label", "size", "x")).alias("one")), "sample")
     drawn_order = Window.orderBy(F.xxhash64("label_id"), "label_id", "label").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .common import text_slices
 
 
 def held_out(doc_id: Column) -> Column:
@@ -45,7 +44,7 @@ def score(docs: DataFrame, model: crf.LineModel, *, id_col: str = "doc_id", text
 
 
 def _scores(texts: pa.Array, model: crf.LineModel) -> np.ndarray:
-    parts = [model.scores(crf.line_features(part)) for part in text_slices(texts)]
+    parts = [model.scores(model.read(part)) for part in crf.slices(texts)]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 

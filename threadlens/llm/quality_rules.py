@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import crf
-from .common import text_slices
 
 #: A document needs this many words, and at most this percentage of them in repeated three-word windows.
 LEAST_WORDS = 50
@@ -61,10 +60,10 @@ def judge(docs: DataFrame, model: crf.LineModel, *, id_col: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for texts in text_slices(batch.column("text")):
+            for texts in crf.slices(batch.column("text")):
                 counts = np.array([base_counts(t) for t in texts], np.int64)
                 failed = (counts[:, 0] < LEAST_WORDS) | (100 * counts[:, 4] > MOST_REPEATED * counts[:, 0])
-                lines = crf.line_features(texts)
+                lines = model.read(texts)
                 share = model.share(model.viterbi(lines).astype(float), lines)
                 columns = [batch.column("id").slice(at, len(texts)), *(pa.array(counts[:, i]) for i in range(5)), pa.array(failed), pa.array(share), pa.array(~failed & (share >= least_content))]
                 at += len(texts)
