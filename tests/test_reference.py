@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from threadlens.functions import regexes as R
 from threadlens.functions import text as T
 from threadlens.functions.timestamps import format_timestamp, timestamp_epoch
-from threadlens.operators import candidates, incremental, signals
+from threadlens.operators import candidates, incremental, requests, signals
 from threadlens.operators.search import Near, Not, Phrase, Term, positive_terms, search
 from threadlens.sources.jsonl import read_claude, read_codex, read_grok, read_kimi
 from threadlens.sources.opencode import read_opencode
@@ -98,8 +98,8 @@ def test_candidates_and_changes(spark):
     log = spark.createDataFrame([(1, 1, "detected"), (1, 2, "draft"), (2, 1, "deleted")], "id long, version long, status string")
     current = candidates.latest(log)
     asked = spark.createDataFrame([(1, "in_review", 2), (1, "published", 2), (1, "in_review", 1), (2, "draft", 1), (9, "draft", 1)], "id long, to_status string, version long")
-    assert sorted(r.outcome for r in candidates.transition(current, asked).collect()) == ["conflict", "done", "invalid", "invalid", "missing"]
-    assert candidates.apply_transitions(current, asked.limit(1)).first().version == 3
+    assert sorted(r.outcome for r in requests.transition(current, asked).collect()) == ["conflict", "done", "invalid", "invalid", "missing"]
+    assert requests.answered(current, asked.limit(1)).first().version == 3
     a = spark.createDataFrame([("x", 1), ("y", 2), ("n", None)], "k string, m int")
     b = spark.createDataFrame([("x", 1), ("y", 3), ("z", 1)], "k string, m int")
     assert {(r.k, r.change) for r in incremental.changes(a, b, "k", ["m"]).collect()} == {("x", "same"), ("y", "changed"), ("z", "removed"), ("n", "added")}

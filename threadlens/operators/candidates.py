@@ -25,31 +25,12 @@ TRANSITIONS = {
 }
 
 
-def edges(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(a, b) for a, to in TRANSITIONS.items() for b in to], "from_status string, to_status string")
-
-
 def latest(log: DataFrame) -> DataFrame:
     """The newest version of every candidate, as one aggregation that combines before the shuffle."""
     rest = [c for c in log.columns if c != "id"]
     return log.groupBy("id").agg(F.max_by(F.struct(*rest), "version").alias("row")).select("id", *[F.col("row")[c].alias(c) for c in rest])
 
 
-def transition(current: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests (id, to_status, version) with the outcome: done, conflict (another version), invalid or missing."""
-    allowed = F.broadcast(edges(current.sparkSession))  # 33 rows
-    known = current.select("id", F.col("status").alias("from_status"), F.col("version").alias("current_version"))
-    joined = requests.join(known, "id", "left").join(allowed.withColumn("allowed", F.lit(True)), ["from_status", "to_status"], "left")
-    outcome = F.when(F.col("current_version").isNull(), "missing").when(F.col("current_version") != F.col("version"), "conflict").when(F.col("allowed"), "done").otherwise("invalid")
-    return joined.select("id", "to_status", "version", outcome.alias("outcome"))
-
-
-def apply_transitions(current: DataFrame, requests: DataFrame) -> DataFrame:
-    """New versions, to be appended to the log, for the requests that are done."""
-    done = transition(current, requests).where("outcome = 'done'").select("id", "to_status")
-    return current.join(done, "id").withColumn("status", F.col("to_status")).withColumn("version", F.col("version") + 1).drop("to_status")
-
-
 def superseded(current: DataFrame, replacements: DataFrame) -> DataFrame:
     """Candidates with what replaced them, one step on; replacements are (candidate_id, replacement_id)."""
     r = replacements.select(F.col("candidate_id").alias("id"), "replacement_id")
@@ -129,15 +110,6 @@ def _moved(rows: DataFrame, status: Column, now: str) -> dict[str, Column]:
     return {c: changed.get(c, F.col(c)) for c in COLUMNS}
 
 
-def change_status(current: DataFrame, requests: DataFrame, now: str) -> Batch:
-    """Requests (id, to_status, version, actor, reason) that transition() finds done, as new versions with events; deletion is one of them."""
-    done = transition(current, requests).where("outcome = 'done'").select("id", "to_status")
-    rows = current.join(done, "id").join(requests.select("id", "to_status", "actor", "reason"), ["id", "to_status"])
-    after = _moved(rows, F.col("to_status"), now)
-    action = F.when(F.col("to_status") == "deleted", "delete").otherwise("transition")
-    return Batch(rows.select(*[v.alias(c) for c, v in after.items()]), _events(rows, action, candidate_hash(), candidate_hash(after.__getitem__), now))
-
-
 def trash(log: DataFrame) -> DataFrame:
     """Deleted candidates with `previous`, their last version before; the log of versions is the trash."""
     rest = [c for c in log.columns if c != "id"]
@@ -146,20 +118,14 @@ def trash(log: DataFrame) -> DataFrame:
     return last.where("now.status = 'deleted'").select("id", *[F.col("now")[c].alias(c) for c in rest], "previous")
 
 
-def restore(log: DataFrame, requests: DataFrame, now: str) -> tuple[DataFrame, Batch]:
-    """The outcome of each request (id, actor, reason) - done, missing, not_deleted, no_snapshot - and the restored versions."""
-    current, thrown = latest(log), trash(log).select("id", "previous")
-    asked = requests.join(current, "id", "left").join(thrown, "id", "left")
-    outcome = F.when(F.col("status").isNull(), "missing").when(F.col("status") != "deleted", "not_deleted").when(F.col("previous").isNull(), "no_snapshot").otherwise("done")
-    asked = asked.withColumn("outcome", outcome)
-    rows = asked.where("outcome = 'done'")
-    back = {c: F.col("previous")[c] if c != "id" else F.col("id") for c in COLUMNS} | {"deleted_at": F.lit(""), "updated_at": F.lit(now), "version": F.col("version") + 1}
-    batch = Batch(rows.select(*[v.alias(c) for c, v in back.items()]), _events(rows, F.lit("restore"), candidate_hash(), candidate_hash(back.__getitem__), now))
-    return asked.select("id", "outcome"), batch
-
-
 def replace(current: DataFrame, inputs: DataFrame, now: str) -> Batch:
-    """New candidates (inputs with `old_id`) that supersede old ones: the old ones are deleted, if their status allows it, in the same batch."""
+    """New candidates (inputs with `old_id`) that supersede old ones: the old ones are deleted, if their status allows it, in the same batch.
+
+    A candidate is replaced once, by the first of its inputs by id, as it is gone then; inputs whose id is taken or comes twice are refused.
+    """
+    inputs = inputs.withColumn("id", F.trim("id")).join(current.select(F.trim("id").alias("id")), "id", "left_anti")
+    for key, order in (("old_id", "id"), ("id", "old_id")):
+        inputs = inputs.groupBy(key).agg(F.min_by(F.struct(*[c for c in inputs.columns if c != key]), order).alias("one")).select(key, "one.*")
     may_go = [s for s, to in TRANSITIONS.items() if "deleted" in to]
     old = current.where(F.col("status").isin(may_go))
     allowed = inputs.join(old.select(F.col("id").alias("old_id")), "old_id", "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import regexes as R
 from ..functions import text as T
 from ..functions.timestamps import format_timestamp, timestamp_epoch
-from ..operators import candidates, commits, decisions, incremental, sessions, signals, skills, windows
+from ..operators import candidates, commits, decisions, incremental, requests, sessions, signals, skills, windows
 from ..operators.search import And, Near, Not, Or, Phrase, Term, matching_messages, search, search_enriched
 from .registry import KEYS, ORACLES, QUERIES, register
 from .search_sql import ROLLUP_SQL, TIME_SQL, TOKENS_SQL, condition_sql, quoted, search_sql
@@ -364,7 +364,7 @@ SELECT req.id, to_status, req.version, CASE WHEN latest.version <> req.version T
 def candidate_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     current = candidates.latest(_candidate_log(spark, sf_dir))
     asked = current.select("id", F.lit("draft").alias("to_status"), (F.col("version") - (F.col("id") % 3 == 0).cast("int")).alias("version"))
-    return candidates.transition(current, asked)
+    return requests.transition(current, asked)
 
 
 @register(f"WITH {_LOG_SQL} SELECT id, status, CASE WHEN id % 4 = 0 THEN id + 1 END AS replacement_id, id % 4 = 0 AS is_superseded FROM latest")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import candidates, decisions
+from ..operators import candidates, decisions, requests
 from .registry import register
 from .search_sql import quoted
 from .tables import table
@@ -89,7 +89,7 @@ def candidate_delete_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events of deleting every candidate of a third of the users that may be deleted."""
     current = candidates.latest(_log(spark, sf_dir))
     asked = current.where("int(substring(id, 2)) % 3 = 1").select("id", F.lit("deleted").alias("to_status"), "version", F.lit("me").alias("actor"), F.lit("why").alias("reason"))
-    return candidates.change_status(current, asked, _NOW).events
+    return requests.change_status(current, asked, _NOW).events
 
 
 @register(f"WITH {_LOG_SQL} SELECT latest.id, latest.version, previous.status AS previous_status, previous.version AS previous_version FROM latest LEFT JOIN previous USING (id) WHERE latest.status = 'deleted'")
@@ -107,7 +107,7 @@ FROM asked LEFT JOIN latest USING (id) LEFT JOIN previous ON previous.id = asked
 def candidate_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests to restore each user's neighbour: some are missing, some not deleted."""
     asked = table(spark, sf_dir, "events").select(F.concat(F.lit("c"), F.col("user_id").cast("long") + 1).alias("id")).distinct().select("id", F.lit("me").alias("actor"), F.lit("").alias("reason"))
-    outcomes, batch = candidates.restore(_log(spark, sf_dir), asked, _NOW)
+    outcomes, batch = requests.restore(_log(spark, sf_dir), asked, _NOW)
     events = batch.events.select(F.col("candidate_id").alias("id"), "after_hash")
     return outcomes.join(batch.versions.select("id", "status", "version"), "id", "left").join(events, "id", "left")
 
@@ -173,3 +173,70 @@ def decision_list_superseded(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(_decisions_sql("accepted", "status = 'approved'", 1000))
 def decision_list_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decision_list(spark, sf_dir, status="accepted")
+
+
+# Many requests of one candidate, and reviews in several steps ----------------------------------------------------------------------------
+
+_ASKED = ["transition", "transition", "delete", "restore", "review_decision", "review_skill"]
+_VERDICTS = ["approved", "rejected", "deferred"]
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is a request to its user's neighbour, in the order of events; some name a version, of one that was met by another before."""
+    k, user = F.col("event_id").cast("long"), F.col("user_id").cast("long")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (n % len(values) + 1).cast("int"))
+    action = pick(_ASKED, k)
+    target = F.when(action.startswith("review"), pick(_VERDICTS, F.floor(k / 7))).when(action == "transition", pick(_STATES[:9], F.floor(k / 5)))
+    near = F.when(k % 11 == 0, F.col("last_id") + F.floor(k / 11) % 4)
+    e = table(spark, sf_dir, "events")
+    e = e.join(e.groupBy("user_id").agg(F.max("event_id").alias("last_id")), "user_id")
+    return e.select(F.concat(F.lit("c"), user + F.when(k % 50 == 0, 1).otherwise(0)).alias("id"), k.alias("seq"), action.alias("action"), target.alias("to_status"), near.cast("long").alias("version"), F.lit("").alias("actor"), F.lit("").alias("reason"))
+
+
+def _pick_sql(values: list[str], n: str) -> str:
+    return f"[{', '.join(map(quoted, values))}][(({n}) % {len(values)} + 1)::INT]"
+
+
+#: The state of each candidate after each of its requests. `steps` is null where a request is refused.
+_ANSWERS_SQL = f"""{_LOG_SQL}, edges(a, b) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, to in candidates.TRANSITIONS.items() for b in to)}),
+asked AS (SELECT 'c' || (user_id + (event_id % 50 = 0)::INT) AS id, event_id AS seq, {_pick_sql(_ASKED, 'event_id')} AS action, CASE WHEN event_id % 11 = 0 THEN last_id + (event_id // 11) % 4 END AS wanted,
+  CASE WHEN {_pick_sql(_ASKED, 'event_id')} LIKE 'review%' THEN {_pick_sql(_VERDICTS, 'event_id // 7')} WHEN {_pick_sql(_ASKED, 'event_id')} = 'transition' THEN {_pick_sql(_STATES[:9], 'event_id // 5')} END AS target FROM raw),
+placed AS (SELECT *, CASE WHEN action = 'delete' THEN 'deleted' ELSE target END AS to_status, row_number() OVER (PARTITION BY id ORDER BY seq) AS place FROM asked),
+walk AS (
+  SELECT ids.id, 0 AS place, 0::BIGINT AS seq, '' AS action, 0 AS steps, '' AS outcome, latest.status, CASE WHEN latest.status = 'deleted' THEN previous.status END AS was, latest.version::BIGINT AS version
+  FROM (SELECT DISTINCT id FROM asked) AS ids LEFT JOIN latest USING (id) LEFT JOIN previous USING (id)
+  UNION ALL
+  SELECT id, place, seq, action, coalesce(n, 0), CASE WHEN status IS NULL THEN 'missing' WHEN wanted <> version THEN 'conflict' WHEN n > 0 THEN 'done' WHEN n = 0 THEN 'same' WHEN action <> 'restore' THEN 'invalid' WHEN status <> 'deleted' THEN 'not_deleted' ELSE 'no_snapshot' END,
+    CASE WHEN n > 0 THEN CASE WHEN action = 'restore' THEN was ELSE to_status END ELSE status END, CASE WHEN n > 0 THEN CASE WHEN to_status = 'deleted' THEN status END ELSE was END, version + coalesce(n, 0)
+  FROM (SELECT p.id, p.place, p.seq, p.action, p.wanted, p.to_status, w.status, w.was, w.version, CASE WHEN w.status IS NULL OR wanted <> w.version THEN NULL
+      WHEN p.action = 'restore' THEN CASE WHEN w.status = 'deleted' AND w.was IS NOT NULL THEN 1 END
+      WHEN p.action IN ('transition', 'delete') THEN CASE WHEN EXISTS (SELECT 1 FROM edges WHERE a = w.status AND b = p.to_status) THEN 1 END
+      WHEN p.action = 'review_skill' AND w.status = p.to_status THEN 0
+      WHEN w.status = 'detected' THEN 3 WHEN w.status = 'draft' THEN 2 WHEN w.status = 'in_review' THEN 1
+      WHEN p.action = 'review_skill' THEN CASE WHEN w.status = 'rejected' THEN 3 WHEN w.status IN ('deferred', 'failed') THEN 2 END
+      WHEN EXISTS (SELECT 1 FROM edges WHERE a = w.status AND b = p.to_status) THEN 1 END AS n
+    FROM walk AS w JOIN placed AS p ON p.id = w.id AND p.place = w.place + 1))"""
+
+
+@register(f"WITH RECURSIVE {_ANSWERS_SQL} SELECT id, seq, action, steps, outcome, CASE WHEN steps > 0 THEN status END AS to_status, CASE WHEN steps > 0 THEN version END AS version FROM walk WHERE place > 0")
+def candidate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The answers to many requests of each candidate: transitions, deletions, restorations and reviews, some of a version that is gone."""
+    found = requests.outcomes(requests.answered(_log(spark, sf_dir), _asked(spark, sf_dir)))
+    made = F.col("steps") > 0
+    return found.select("id", "seq", "action", "steps", "outcome", F.when(made, F.col("to_status")).alias("to_status"), F.when(made, F.col("version")).alias("version"))
+
+
+@register(
+    f"""WITH RECURSIVE {_ANSWERS_SQL}, done AS (SELECT * FROM walk WHERE steps > 0)
+SELECT id, sum(steps)::BIGINT AS n_versions, sum(steps)::BIGINT AS n_events, max(version) AS last_version, arg_max(status, version) AS last_status, count(*) FILTER (status = 'deleted') AS n_deleted, count(*) FILTER (action = 'restore') AS n_restored,
+  true AS chained FROM done GROUP BY id"""
+)
+def candidate_request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the requests append to the logs, by candidate; the hashes of its events are a chain."""
+    batch = requests.apply(_log(spark, sf_dir), _asked(spark, sf_dir), _NOW)[1]
+    versions = batch.versions.groupBy("id").agg(F.count("*").alias("n_versions"), F.max("version").alias("last_version"), F.max_by("status", "version").alias("last_status"), F.sum((F.col("status") == "deleted").cast("long")).alias("n_deleted"))
+    after = batch.events.select("candidate_id", F.col("after_hash").alias("hash"), F.lit(1).alias("n"), F.lit(0).alias("m")).unionAll(batch.events.select("candidate_id", "before_hash", F.lit(0), F.lit(1)))
+    # Of a chain of hashes all but the two ends stand once as an after and once as a before.
+    ends = after.groupBy("candidate_id", "hash").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).groupBy("candidate_id").agg((F.sum((F.col("n") != F.col("m")).cast("int")) == 2).alias("chained"))
+    events = batch.events.groupBy("candidate_id").agg(F.count("*").alias("n_events"), F.sum((F.col("action") == "restore").cast("long")).alias("n_restored")).join(ends, "candidate_id").withColumnRenamed("candidate_id", "id")
+    return versions.join(events, "id").select("id", "n_versions", "n_events", "last_version", "last_status", "n_deleted", "n_restored", "chained")
