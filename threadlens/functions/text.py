@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import operator
 import re
 import unicodedata
-from functools import lru_cache
+from collections.abc import Callable
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -145,13 +147,24 @@ def hinted(text: Column, hints: list[str]) -> Column:
     return text.rlike("(?iu)" + "|".join(re.escape(h) for h in hints))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def redact(text: Column) -> Column:
-    """Replaces secrets and personal data, pattern after pattern; texts without a pattern's hints meet one that never matches."""
-    out = text
-    for (pattern, replacement), hints in zip(R.REDACTIONS, R.REDACTION_HINTS, strict=True):
-        used = F.when(hinted(text, hints), F.lit(R.java(pattern))).otherwise(F.lit("(?!)"))
-        out = F.regexp_replace(out, used, F.lit(replacement.replace("\\1", "$1")))
-    return out
+    """Replaces secrets and personal data, pattern after pattern; patterns of whose hints a text has none are passed over."""
+
+    def step(k: int, out: Column, folded: Column) -> Column:
+        if k == len(R.REDACTIONS):
+            return out
+        (pattern, replacement), hints = R.REDACTIONS[k], R.REDACTION_HINTS[k]
+        some = reduce(operator.or_, [folded.contains(h.lower()) for h in hints])
+        replaced = lambda x: F.when(some, F.regexp_replace(x, R.java(pattern), replacement.replace("\\1", "$1"))).otherwise(x)
+        return let(out, lambda x: step(k + 1, replaced(x), folded))
+
+    # The one letter beyond lower case that the patterns take for an ASCII one is U+017F.
+    return let(F.translate(F.lower(text), "ſ", "s"), lambda folded: step(0, text, folded))
 
 
 def secret_count(text: Column) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import json_text
 from ..functions import regexes as R
 from ..functions import text as T
 from ..functions.timestamps import format_timestamp, timestamp_epoch
 from ..operators import candidates, commits, decisions, incremental, requests, sessions, signals, skills, windows
 from ..operators.search import And, Near, Not, Or, Phrase, Term, matching_messages, search, search_enriched
+from ..sources.jsonl import content_text
 from .registry import KEYS, ORACLES, QUERIES, register
 from .search_sql import ROLLUP_SQL, TIME_SQL, TOKENS_SQL, condition_sql, quoted, search_sql
 from .tables import MESSAGES_SQL, TOOLS, messages, table
@@ -131,6 +133,18 @@ def truncate_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", (cut != F.col("text")).alias("was_cut"), F.md5(cut).alias("cut_md5"))
 
 
+@register("SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN text WHEN turn % 4 = 3 THEN '' ELSE concat_ws(chr(10), nullif(text, ''), nullif(role, ''), nullif(text, '')) END AS content FROM conversations")
+def content_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as messages hold them: plain, in blocks four levels deep, and where they don't count."""
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    text, role = (json_text.json_string(F.col(c)) for c in ("text", "role"))
+    deep = say('{"content":[{"text":', text, '},7,[', text, '],{"content":{"content":[{"content":[', role, ']},{"text":5,"content":', text, "}]}}]}")
+    flat = say("[", text, ',{"text":', role, '},{"content":', text, "},{}]")
+    content = F.when(F.col("turn") % 4 == 0, text).when(F.col("turn") % 4 == 1, deep).when(F.col("turn") % 4 == 2, flat).otherwise(say('{"content":[[', text, "]]}"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.try_parse_json(say('{"c":', content, "}")).alias("v"))
+    return rows.select("conv_id", "turn", content_text("c").alias("content"))
+
+
 @register("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS time FROM events")
 def format_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
@@ -154,6 +168,29 @@ def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.redact(F.col("text")).alias("r"), "text").select("doc_id", F.md5("r").alias("redacted_md5"), (F.col("r") != F.col("text")).alias("was_changed"))
 
 
+# JSON texts around the documents' texts, five levels deep; every fifth one is no JSON. Strings are redacted where they stand.
+_STRING_SQL = quoted(json_text.STRING.replace("*+", "*"))
+_REDACTED_LITERAL = "json_extract_string(l, '$')"
+for _p, _r in R.REDACTIONS:
+    _REDACTED_LITERAL = f"regexp_replace({_REDACTED_LITERAL}, {quoted(_p)}, {quoted(_r)}, 'g')"
+_HTML = "to_json(r)::VARCHAR"
+for _raw, _escaped in json_text.ESCAPED.items():
+    _HTML = f"replace({_HTML}, '{_raw}', '{_escaped}')"
+
+
+@register(
+    f"""WITH j AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text ELSE '{{"a":[{{"b":{{"K":[[' || to_json(text) || ',' || doc_id || '.50]],"me@example.com":null}}}}],"z":"token=abc ' || doc_id || '"}}' END AS json FROM documents),
+parts AS (SELECT *, regexp_extract_all(json, {_STRING_SQL}) AS lits, string_split_regex(json, {_STRING_SQL}) AS gaps FROM j),
+changed AS (SELECT *, list_transform(lits, lambda l: struct_pack(r := {_REDACTED_LITERAL})) AS done FROM parts WHERE doc_id % 5 <> 0),
+woven AS (SELECT doc_id, list_reduce(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || CASE WHEN i > len(done) THEN '' ELSE list_transform([done[i].r], lambda r: {_HTML})[1] END), lambda a, b: a || b) AS red FROM changed)
+SELECT doc_id, md5(replace(red, doc_id || '.50]', doc_id || '.5]')) AS redacted_md5 FROM woven UNION ALL SELECT doc_id, md5({_REDACT.replace('text', 'json', 1)}) FROM j WHERE doc_id % 5 = 0"""
+)
+def redact_json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inner = F.concat(F.lit('{"a":[{"b":{"K":[['), json_text.json_string(F.col("text"), html=False), F.lit(","), F.col("doc_id"), F.lit('.50]],"me@example.com":null}}],"z":"token=abc '), F.col("doc_id"), F.lit('"}'))
+    json = F.when(F.col("doc_id") % 5 == 0, F.col("text")).otherwise(inner)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(json_text.redact_json(json)).alias("redacted_md5"))
+
+
 @register("SELECT doc_id, (" + " + ".join(f"len(regexp_extract_all(text, {quoted(p)}))" for p in R.SECRETS) + ")::BIGINT AS secrets FROM documents")
 def secret_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", T.secret_count(F.col("text")).alias("secrets"))

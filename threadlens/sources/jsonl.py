@@ -38,25 +38,38 @@ def first_of(*values: Column) -> Column:
     return F.coalesce(*[F.when(v != "", v) for v in values], F.lit(""))
 
 
+#: Fixed value: levels beyond which JSON texts are not parsed.
+LEVELS = 1000
+
+
+def variant_text(v: Column) -> Column:
+    """The text of a message's content: a string; an object's text or, without one, that of its content; the texts of an array, a line each.
+
+    In an array only strings and objects count; empty texts are left out. Content is opened level by level in place, all items of a level
+    at once, until only strings are left, however deep that is.
+    """
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+    of_kind = lambda x, name: kind(x).startswith(name)
+    none = F.array().cast("array<variant>")
+
+    def opened(x: Column) -> Column:
+        """The items of a content: of an array those that are no arrays, anything else by itself."""
+        return F.when(of_kind(x, "ARRAY"), F.filter(F.try_variant_get(x, "$", "array<variant>"), lambda y: ~of_kind(y, "ARRAY"))).when(x.isNull(), none).otherwise(F.array(x))
+
+    def one(x: Column) -> Column:
+        own = F.try_variant_get(x, "$.text", "variant")
+        return F.when(of_kind(x, "OBJECT"), F.when(of_kind(own, "STRING"), F.array(own)).otherwise(opened(F.try_variant_get(x, "$.content", "variant")))).when(of_kind(x, "STRING"), F.array(x)).otherwise(none)
+
+    level = lambda items: F.flatten(F.transform(items, one))
+    is_open = lambda items: F.exists(items, lambda x: of_kind(x, "OBJECT"))
+    rest = lambda items: F.aggregate(F.sequence(F.lit(1), F.when(is_open(items), LEVELS).otherwise(1)), items, lambda now, _: F.when(is_open(now), level(now)).otherwise(now))
+    strings = T.let(level(opened(v)), rest)
+    return F.array_join(F.filter(F.transform(strings, lambda x: F.when(of_kind(x, "STRING"), F.try_variant_get(x, "$", "string"))), lambda t: t != ""), "\n")
+
+
 def content_text(path: str) -> Column:
-    """A string, the texts of an array of blocks (two levels deep), or an object's text."""
-    v = F.try_variant_get("v", f"$.{path}", "variant")
-    kind = F.coalesce(F.schema_of_variant(v), F.lit("VOID"))
-    items = F.try_variant_get("v", f"$.{path}", "array<variant>")
-
-    def block(b: Column) -> Column:
-        plain = F.when(F.schema_of_variant(b) == "STRING", F.try_variant_get(b, "$", "string"))
-        inner = F.try_variant_get(b, "$.content", "array<variant>")
-        nested = F.array_join(F.filter(F.transform(inner, lambda x: F.try_variant_get(x, "$.text", "string")), lambda x: x != ""), "\n")
-        return F.coalesce(plain, F.try_variant_get(b, "$.text", "string"), nested, F.try_variant_get(b, "$.content", "string"))
-
-    joined = F.array_join(F.filter(F.transform(items, block), lambda x: x != ""), "\n")
-    return (
-        F.when(kind == "STRING", field(path))
-        .when(kind.startswith("ARRAY"), F.coalesce(joined, F.lit("")))
-        .when(kind.startswith("OBJECT"), first_of(field(f"{path}.text"), field(f"{path}.content")))
-        .otherwise("")
-    )
+    """The text of the content at a path of the line's variant; empty if there is none."""
+    return F.coalesce(variant_text(F.try_variant_get("v", f"$.{path}", "variant")), F.lit(""))
 
 
 def file_session_id(path: Column) -> Column:
