@@ -109,7 +109,8 @@ def with_next(docs: DataFrame, columns: list[str], *, id_col: str = "doc_id", te
     from a table of ids and hashes. The first document of a part is sent to the part before it, too. A part that is one document, many
     times repeated, is dealt out further.
     """
-    key, part, guest, place, before = (fresh(docs, c) for c in ("key", "part", "guest", "place", "before"))
+    key, part, place, drawn, guest = (fresh(docs, c) for c in ("key", "part", "place", "drawn", "guest"))
+    came, came_guest, *came_rows = (fresh(docs, f"came_{c}") for c in ("key", "guest", *columns))
     hexed = lambda n: F.lpad(F.hex(n), 16, "0")
     order = F.concat(
         F.coalesce(hexed(docs[id_col].cast("long").bitwiseXOR(F.lit(-(1 << 63)))), F.lit("")), F.lit("."),
@@ -143,21 +144,20 @@ def with_next(docs: DataFrame, columns: list[str], *, id_col: str = "doc_id", te
     dealt = lambda p: F.get(deal_of, p).cast("long")
     rows = docs.withColumn(key, order)
     rows = rows.withColumn(part, part_of(F.col(key), firsts))
-    drawn = F.xxhash64(F.monotonically_increasing_id())
     ahead = F.pmod(F.col(part) - 1, F.lit(len(firsts)))
-    own = F.array(F.struct(F.col(part).alias("p"), F.col(place).alias("s"), F.lit(False).alias("guest")))
-    sent = F.transform(F.sequence(F.lit(0).cast("long"), dealt(ahead) - 1), lambda s: F.struct(ahead.alias("p"), s.alias("s"), F.lit(True).alias("guest")))
-    is_sent = (F.get(first_of, F.col(part)) == F.col(key)) & (F.pmod(F.col(before), F.get(send_of, F.col(part)).cast("long")) == 0)
-    rows = rows.withColumn(before, drawn).withColumn(place, F.pmod(F.col(before), dealt(F.col(part))))
-    rows = rows.withColumn(guest, F.explode(F.when(is_sent, F.concat(own, sent)).otherwise(own))).drop(before)
-    # From the last document back: the next one of a row is the last different one seen, guests being seen first.
-    back = Window.partitionBy(f"{guest}.p", f"{guest}.s").orderBy(F.desc(f"{guest}.guest"), F.desc(key))
-    seen = F.lag(F.struct(F.col(key).alias("key"), F.struct(*columns).alias("row"), F.col(f"{guest}.guest").alias("guest"))).over(back)
-    rows = rows.withColumn(before, seen)
+    own = F.array(F.struct(F.col(part).alias(part), F.col(place).alias(place), F.lit(False).alias(guest)))
+    sent = F.transform(F.sequence(F.lit(0).cast("long"), dealt(ahead) - 1), lambda s: F.struct(ahead.alias(part), s.alias(place), F.lit(True).alias(guest)))
+    is_sent = (F.get(first_of, F.col(part)) == F.col(key)) & (F.pmod(F.col(drawn), F.get(send_of, F.col(part)).cast("long")) == 0)
+    rows = rows.withColumn(drawn, F.xxhash64(F.monotonically_increasing_id())).withColumn(place, F.pmod(F.col(drawn), dealt(F.col(part))))
+    rows = rows.select(*docs.columns, key, F.inline(F.when(is_sent, F.concat(own, sent)).otherwise(own)))
+    # From the last document back: the next one of a row is the last different one seen, guests being seen first. One exchange and one sort.
+    back = Window.partitionBy(part, place).orderBy(F.desc(guest), F.desc(key))
+    seen = {came: key, came_guest: guest, **dict(zip(came_rows, columns, strict=True))}
+    rows = rows.withColumns({name: F.lag(c).over(back) for name, c in seen.items()})
     # The same key again is the same document, but a guest before it is the first one after the last, whatever its key.
-    changed = F.when((F.col(before)["key"] != F.col(key)) | F.col(before)["guest"], F.col(before)["row"])
-    rows = rows.withColumn(before, F.last(changed, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return rows.where(~F.col(guest)["guest"]).select(*docs.columns, F.col(before).alias("next"))
+    changed = F.when((F.col(came) != F.col(key)) | F.col(came_guest), F.struct(*[F.col(name).alias(c) for name, c in zip(came_rows, columns, strict=True)]))
+    rows = rows.withColumn(came, F.last(changed, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return rows.where(~F.col(guest)).select(*docs.columns, F.col(came).alias("next"))
 
 
 def edited(text: Column, other: Column) -> Column:
