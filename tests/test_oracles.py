@@ -7,10 +7,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from threadlens.plans import decision_queries, session_queries, store_queries
+from threadlens.plans import decision_queries, index_queries, session_queries, store_queries
 
 TABLES = "/root/testdata/sf0.001"
-MODULES = {m.__name__ for m in (decision_queries, session_queries, store_queries)}
+MODULES = {m.__name__ for m in (decision_queries, index_queries, session_queries, store_queries)}
 
 
 def plain(value):

@@ -486,4 +486,4 @@ def decision_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The rest registers itself.
-from . import decision_queries, session_queries, store_queries  # noqa: E402, F401
+from . import decision_queries, index_queries, session_queries, store_queries  # noqa: E402, F401

@@ -24,12 +24,12 @@ PLACES = {
 ROOTS = [".local/share/opencode", ".grok/sessions", ".codex/sessions", ".kimi-code/sessions", ".claude/projects"]
 
 
-def listing(spark: SparkSession, home: str) -> DataFrame:
-    """path, mtime (seconds) and size of all files in the tools' folders; contents are not read, and folders may be missing."""
+def listing(spark: SparkSession, home: str | list[str]) -> DataFrame:
+    """path, mtime (seconds) and size of all files in the tools' folders of one or more homes; contents are not read, folders may be missing."""
     jvm = spark.sparkContext._jvm
     there = []
-    for root in ROOTS:
-        path = jvm.org.apache.hadoop.fs.Path(f"{home.rstrip('/')}/{root}")
+    for root in [f"{h.rstrip('/')}/{r}" for h in ([home] if isinstance(home, str) else home) for r in ROOTS]:
+        path = jvm.org.apache.hadoop.fs.Path(root)
         if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
             there.append(path.toString())
     if not there:
@@ -52,7 +52,7 @@ def discover(files: DataFrame) -> DataFrame:
     return found.orderBy(rank, "source_path")
 
 
-def sources(spark: SparkSession, home: str) -> DataFrame:
+def sources(spark: SparkSession, home: str | list[str]) -> DataFrame:
     """The transcripts below a home folder with their signatures: tool, source_path, mtime and size."""
     files = listing(spark, home)
     return signatures(files, discover(files))

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.incremental import replace_sources
-
 #: Buckets of a table; a table keeps the number it was made with.
 BUCKETS = 64
 BUCKET, FULL = "threadlens_bucket", "-full"
@@ -23,19 +21,34 @@ def refresh(spark: SparkSession, inbox: str, schema: str, target: str, checkpoin
     """
 
     def merge(batch: DataFrame, number: int) -> None:
-        batch = _bucketed(batch, key, buckets)
-        touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]  # at most as many as there are buckets
-        there = _newest(spark, target, below=number)
-        if any(b.rpartition("-")[2] != str(buckets) for b in there):
-            raise ValueError(f"{target} was not made with {buckets} buckets")
-        old = [there[b] for b in touched if b in there]
-        new = replace_sources(_bucketed(spark.read.parquet(*old), key, buckets), batch, key) if old else batch
-        _write(new, f"{target}/version={number:010d}")
+        write_version(spark, target, number, batch, key=key, buckets=buckets)
 
     stream = spark.readStream.schema(schema).parquet(inbox).writeStream.foreachBatch(merge)
     stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def write_version(spark: SparkSession, target: str, number: int, batch: DataFrame, *, gone: DataFrame | None = None, key: str = "source_path", buckets: int = BUCKETS) -> None:
+    """Version `number` of the table: the rows of the batch in place of those with the same key, without those with a key in `gone`."""
+    batch = _bucketed(batch, key, buckets)
+    leaving = batch.select(BUCKET, key) if gone is None else batch.select(BUCKET, key).unionByName(_bucketed(gone.select(key), key, buckets))
+    touched = [r[0] for r in leaving.select(BUCKET).distinct().collect()]  # at most as many as there are buckets
+    there = _newest(spark, target, below=number)
+    if any(b.rpartition("-")[2] != str(buckets) for b in there):
+        raise ValueError(f"{target} was not made with {buckets} buckets")
+    old = [there[b] for b in touched if b in there]
+    if not old:
+        _write(batch, f"{target}/version={number:010d}")
+        return
+    kept = _bucketed(spark.read.parquet(*old), key, buckets).join(leaving.select(key).distinct(), key, "left_anti")
+    _write(kept.unionByName(batch), f"{target}/version={number:010d}")
+    # A bucket of which no row is left has no folder of its own: an empty one says so.
+    written = _buckets(spark, f"{target}/version={number:010d}")
+    for b in touched:
+        if b in there and b not in written:
+            fs, folder = _folder(spark, f"{target}/version={number:010d}/{BUCKET}={b}")
+            batch.limit(0).drop(BUCKET).write.parquet(folder.toString())
+
+
 def rebuild(messages: DataFrame, target: str, *, key: str = "source_path", buckets: int = BUCKETS) -> None:
     """The table at `target` is these messages alone from now on; later refreshes go on from there. Not to be called during a refresh."""
     numbers = [n for n, _, _ in _versions(messages.sparkSession, target)]
