@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import decision_patterns as P
 from ..functions import regexes as R
 from ..functions import text as T
-from ..operators import decisions, skills
+from ..operators import decision_fold, decisions, skills
 from .registry import KEYS, register
 from .search_sql import quoted
 from .tables import MESSAGES_SQL, messages, table
@@ -232,3 +232,10 @@ def skill_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
     some = F.when(F.col("o_orderkey") % 3 == 1, F.array(F.lit("x"), F.lit("segment:fallback:missing_index:2"))).otherwise(F.array(F.lit("segment:other")))
     return skills.fallbacks(table(spark, sf_dir, "orders").select(some.alias("reasons")))
+
+
+@register()
+def decisions_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions by the exact fold, with what later messages add to them; a test folds whole lists."""
+    found = decision_fold.folded(talk(spark, sf_dir), KEYS)
+    return found.select("decision_id", *KEYS, "message_start", "message_end", "chosen", "confidence", "outcome", F.size("evidence").alias("n_evidence"), F.array_join("members", "|").alias("members"))
