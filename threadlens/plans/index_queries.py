@@ -13,7 +13,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.json_text import json_string
+from ..sinks import documents
 from ..streaming.index import index_home, messages_of
 from ..streaming.refresh import read_table
 from .registry import register
@@ -132,3 +134,31 @@ def indexed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, target = _second_run(spark, sf_dir)
     found = messages_of(read_table(spark, target))
     return found.groupBy("tool", "session_id").agg(F.count("*").alias("messages"), F.sum(F.char_length("text")).alias("chars"))
+
+
+# Documents as files: every third page is published first, then all that are approved, page by page in the order of ids. -------------------
+
+_SLUG_SQL = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '[^\x00-\x7F]', '', 'g'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+
+
+@register(
+    f"""WITH p AS (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN {_SLUG_SQL} ELSE 'page-' || (page_id // 2) END AS slug, page_id % 3 = 0 AS early, page_id % 5 <> 0 AS approved, html FROM pages),
+q AS (SELECT *, slug <> '' AND length(slug) <= 64 AND html IS NOT NULL AS valid FROM p),
+first AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY page_id) = 1 AS wins FROM q WHERE early AND approved AND valid),
+second AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY page_id) = 1 AND slug NOT IN (SELECT slug FROM first) AS wins FROM q WHERE approved AND valid),
+held AS (SELECT slug, md5(html) AS file_md5 FROM first WHERE wins UNION ALL SELECT slug, md5(html) FROM second WHERE wins)
+SELECT q.page_id, q.slug, CASE WHEN NOT q.approved THEN 'not_approved' WHEN NOT q.valid THEN 'refused' WHEN second.wins THEN 'published' ELSE 'conflict' END AS outcome, file_md5
+FROM q LEFT JOIN second USING (page_id) LEFT JOIN held ON held.slug = q.slug"""
+)
+def published_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcomes of a second run, with what the file of each slug holds after it."""
+    root = shared_folder(spark, "documents")
+    slug = F.when(F.col("page_id") % 4 == 0, T.slugify(F.col("url"))).otherwise(F.concat(F.lit("page-"), F.floor(F.col("page_id") / 2)))
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"), slug.alias("slug"), F.col("html").alias("document"), "page_id")
+    approved = pages.where("page_id % 5 <> 0")
+    documents.publish_documents(approved.where("page_id % 3 = 0"), root)
+    found = documents.publish_documents(approved, root)
+    others = pages.where("page_id % 5 = 0").select("id", "slug", F.lit("not_approved").alias("outcome"))
+    files = documents.read_documents(spark, root).select("slug", F.md5("document").alias("file_md5"))
+    rows = found.select("id", "slug", "outcome").unionByName(others).join(files, "slug", "left")
+    return rows.select(F.col("id").cast("long").alias("page_id"), "slug", "outcome", "file_md5")
