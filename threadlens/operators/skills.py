@@ -274,3 +274,43 @@ def publish(bundle: DataFrame, path: str) -> None:
     """Writes the documents of drafted bundles, a folder for each slug's first character, from the tasks that hold them."""
     ready = markdown(bundle).where("disposition = 'draft' AND document IS NOT NULL").select("slug", "document", F.substring("slug", 1, 1).alias("shelf"))
     ready.write.mode("overwrite").partitionBy("shelf").parquet(path)
+
+
+# Answers on windows of user turns ---------------------------------------------------------------------------------------------------------
+
+# Why a session was not segmented as asked for.
+MISSING_INDEX, SEGMENTER_ERROR, EMPTY_RESULT = "missing_index", "segmenter_error", "empty_result"
+
+
+def turns_of_answers(sessions: DataFrame, windows: DataFrame, answers: DataFrame, errors: DataFrame, keys: list[str], overlap: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Decisions (keys, turn, decision) from answers on overlapping windows, and observations on what was repaired or given up.
+
+    Windows are those of windows.turn_windows(); answers are (keys, window, index, decision, place), of which the last by place counts and
+    those outside the window don't; errors are (keys, window, error). Where windows overlap, the earlier one's answer is taken. A turn
+    without an answer goes on with the task before it; the first turn of a session always starts one. A session with an error has no
+    decisions, so it stays one task; its observations are those up to the first error. A session without turns is an empty result.
+
+    Observations are (keys, kind, count, window_start, window_end, message), by window and not by turn. Null or empty decisions are none.
+    """
+    failed = errors.groupBy(*keys).agg(F.min("window").alias("failed_at"), F.min_by("error", "window").alias("message"))
+    every = windows.withColumn("index", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)))
+    told = answers.where("coalesce(decision, '') <> ''").groupBy(*keys, F.col("window").cast("long").alias("window"), F.col("index").cast("long").alias("index")).agg(F.max_by("decision", "place").alias("decision"))
+    met = every.join(told, [*keys, "window", "index"], "left").join(failed.select(*keys, "failed_at"), keys, "left")
+    turn = F.col("first_turn") + F.col("index")
+    own = F.col("failed_at").isNull() & ((F.col("window") == 0) | (F.col("index") >= overlap))
+    decision = F.when(turn == 0, "new").otherwise(F.coalesce("decision", F.lit("same")))
+    turns = met.where(own).select(*keys, turn.alias("turn"), decision.alias("decision"))
+    before = met.where(F.col("failed_at").isNull() | (F.col("window") < F.col("failed_at")))
+    repaired = before.groupBy(*keys, "window", "first_turn", "turns").agg(F.count_if(F.col("decision").isNull()).alias("count")).where("count > 0")
+    empty = sessions.select(*keys).distinct().join(windows.select(*keys).distinct(), keys, "left_anti")
+    seen = repaired.select(*keys, F.lit(MISSING_INDEX).alias("kind"), "count", F.col("first_turn").alias("window_start"), (F.col("first_turn") + F.col("turns") - 1).alias("window_end"), F.lit("").alias("message"))
+    for rows, kind, message in ((failed, SEGMENTER_ERROR, F.col("message")), (empty, EMPTY_RESULT, F.lit(""))):
+        zero = F.lit(0).cast("long")
+        seen = seen.unionByName(rows.select(*keys, F.lit(kind).alias("kind"), F.lit(1).cast("long").alias("count"), zero.alias("window_start"), zero.alias("window_end"), F.coalesce(message, F.lit("")).alias("message")))
+    return turns, seen
+
+
+def fallback_reasons(observations: DataFrame, keys: list[str]) -> DataFrame:
+    """The reasons (keys, reasons) that observations add to the candidates of a session, each once: no more than a window has turns, and two."""
+    one = F.concat(F.lit("segment:fallback:"), "kind", F.when(F.col("count") > 0, F.concat(F.lit(":"), F.col("count").cast("string"))).otherwise(""))
+    return observations.groupBy(*keys).agg(F.array_sort(F.collect_set(one)).alias("reasons"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import decision_patterns as P
 from ..functions import regexes as R
 from ..functions import text as T
-from ..operators import decision_fold, decisions, skills
+from ..operators import decision_fold, decisions, skills, windows
 from .registry import KEYS, register
 from .search_sql import quoted
 from .tables import MESSAGES_SQL, messages, table
@@ -239,3 +239,50 @@ def decisions_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions by the exact fold, with what later messages add to them; a test folds whole lists."""
     found = decision_fold.folded(talk(spark, sf_dir), KEYS)
     return found.select("decision_id", *KEYS, "message_start", "message_end", "chosen", "confidence", "outcome", F.size("evidence").alias("n_evidence"), F.array_join("members", "|").alias("members"))
+
+
+# Answers on windows of three user turns that overlap by one; some turns are left out, some windows fail, some sessions have no turns. ------
+
+_N = F.col("c") + F.col("window") * 3 + F.col("index")
+
+
+def _answered_windows(spark: SparkSession, sf_dir: str):
+    m = messages(spark, sf_dir).where((F.col("role") == "user") & (F.col("id") % 7000 >= 1000))
+    sessions = messages(spark, sf_dir).select(*KEYS).distinct()
+    w = windows.turn_windows(m, KEYS, size=3, overlap=1)
+    each = w.withColumn("c", F.substring("session_id", 6, 6).cast("long")).withColumn("index", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") + 1)))
+    # Of two answers on a turn the later one counts; answers beyond the window count for nothing.
+    answers = each.where(_N % 5 != 0).select(*KEYS, "window", "index", F.when(_N % 3 == 0, "new").otherwise("same").alias("decision"), F.lit(2).alias("place"))
+    answers = answers.unionAll(each.where(_N % 5 != 0).select(*KEYS, "window", "index", F.lit("new").alias("decision"), F.lit(1).alias("place")))
+    errors = each.where("c % 9 = 4 AND window >= 1 AND index = 0").select(*KEYS, "window", F.format_string("no answer on %d", "window").alias("error"))
+    return skills.turns_of_answers(sessions, w, answers, errors, KEYS)
+
+
+_WINDOWS_SQL = f"""{MESSAGES_SQL}, u AS (SELECT tool, session_id, count(*) AS n FROM m WHERE role = 'user' AND id % 7000 >= 1000 GROUP BY tool, session_id),
+w AS (SELECT *, unnest(range(greatest(0, ceil((n - 3) / 2.0))::BIGINT + 1)) AS win, substr(session_id, 6)::BIGINT AS c FROM u),
+i AS (SELECT *, least(3, n - win * 2) AS turns, unnest(range(least(3, n - win * 2))) AS ix FROM w),
+d AS (SELECT *, win * 2 + ix AS turn, CASE WHEN (c + win * 3 + ix) % 5 = 0 THEN NULL WHEN (c + win * 3 + ix) % 3 = 0 THEN 'new' ELSE 'same' END AS decision, max(CASE WHEN c % 9 = 4 AND win >= 1 THEN 1 ELSE 0 END) OVER (PARTITION BY tool, session_id) AS failed FROM i)"""
+
+
+@register(f"WITH {_WINDOWS_SQL} SELECT tool, session_id, turn, CASE WHEN turn = 0 THEN 'new' ELSE coalesce(decision, 'same') END AS decision FROM d WHERE failed = 0 AND (win = 0 OR ix >= 1)")
+def turns_of_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _answered_windows(spark, sf_dir)[0]
+
+
+@register(
+    f"""WITH {_WINDOWS_SQL} SELECT tool, session_id, 'missing_index' AS kind, count(*) AS count, win * 2 AS window_start, win * 2 + max(turns) - 1 AS window_end, '' AS message FROM d WHERE decision IS NULL AND (failed = 0 OR win < 1) GROUP BY tool, session_id, win
+UNION ALL SELECT DISTINCT tool, session_id, 'segmenter_error', 1, 0, 0, 'no answer on 1' FROM d WHERE failed = 1
+UNION ALL SELECT DISTINCT tool, session_id, 'empty_result', 1, 0, 0, '' FROM m WHERE session_id NOT IN (SELECT session_id FROM u)"""
+)
+def segment_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was repaired in the answers on windows, and sessions that stay whole."""
+    return _answered_windows(spark, sf_dir)[1]
+
+
+@register(
+    f"""WITH {_WINDOWS_SQL}, k AS (SELECT session_id FROM d WHERE decision IS NULL AND (failed = 0 OR win < 1) UNION SELECT session_id FROM d WHERE failed = 1 UNION SELECT session_id FROM m WHERE session_id NOT IN (SELECT session_id FROM u))
+SELECT count(*) AS n FROM k"""
+)
+def segment_fallbacks_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many sessions' candidates were segmented by a fallback, by the reasons made from answers."""
+    return skills.fallbacks(skills.fallback_reasons(_answered_windows(spark, sf_dir)[1], KEYS))

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import sqlite3
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,21 +17,11 @@ from ..sinks import documents
 from ..streaming.index import index_home, messages_of
 from ..streaming.refresh import read_table
 from .registry import register
-from .tables import table
+from .tables import shared_folder, table
 
 USERS = 8
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new place below spark.checkpoint.dir; only in local mode, where it may be unset, a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='threadlens-')}"
-    return f"{base.rstrip('/')}/threadlens/{name}-{uuid.uuid4().hex}"
-
-
 def _put(path: str, data: bytes) -> None:
     fs, place = pafs.FileSystem.from_uri(path)
     fs.create_dir(place.rpartition("/")[0], recursive=True)

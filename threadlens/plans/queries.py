@@ -9,12 +9,13 @@ from ..functions import json_text
 from ..functions import regexes as R
 from ..functions import text as T
 from ..functions.timestamps import format_timestamp, timestamp_epoch
-from ..operators import candidates, commits, decisions, incremental, requests, sessions, signals, skills, windows
+from ..operators import candidates, commits, decisions, incremental, postings, requests, sessions, signals, skills, windows
 from ..operators.search import And, Near, Not, Or, Phrase, Term, matching_messages, search, search_enriched
 from ..sources.jsonl import content_text
+from ..streaming.refresh import read_table
 from .registry import KEYS, ORACLES, QUERIES, register
 from .search_sql import ROLLUP_SQL, TIME_SQL, TOKENS_SQL, condition_sql, quoted, search_sql
-from .tables import MESSAGES_SQL, TOOLS, messages, table
+from .tables import MESSAGES_SQL, TOOLS, messages, shared_folder, table
 
 # Searches -------------------------------------------------------------------------------------------------------------------------
 
@@ -51,6 +52,41 @@ def _search_query(name: str) -> None:
 for _name in SEARCHES:
     _search_query(_name)
 
+
+# The same searches by postings, which are built for them first: what a search finds does not change.
+def _indexed_query(name: str) -> None:
+    condition, filters = SEARCHES[name]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        target = shared_folder(spark, "postings")
+        postings.build(messages(spark, sf_dir), target, sessions=300)
+        return postings.indexed_search(spark, messages(spark, sf_dir), target, condition, **filters)
+
+    QUERIES[f"indexed_{name}"], ORACLES[f"indexed_{name}"] = run, search_sql(condition, **filters)
+
+
+for _name in ("search_term", "search_phrase", "search_implicit_and", "search_grouped", "search_accent_folding", "search_punct_tokens"):
+    _indexed_query(_name)
+
+
+def _holds_sql(value: str) -> str:
+    """Whether a session has all runs of three characters of a value, as it stands or as words."""
+    ways = [(postings._grams_of(value.lower()), "lower(text)"), (postings._grams_of(T.token_text_of(value)), "tok")]
+    return "(" + " OR ".join("(" + " AND ".join(f"(bool_or(contains(lower(text), {quoted(g)})) OR bool_or(contains(tok, {quoted(g)})))" for g in gs) + ")" for gs, _ in ways) + ")"
+
+
+@register(
+    f"""WITH {MESSAGES_SQL}, u AS (SELECT *, {TOKENS_SQL} AS tok FROM m), s AS (SELECT tool, session_id, count(*) AS n, {_holds_sql('thatble')} AND {_holds_sql('onthe')} AS may FROM u GROUP BY tool, session_id)
+SELECT tool, session_id, n AS texts_read FROM s WHERE may"""
+)
+def indexed_texts_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions whose texts a search by postings reads, and how many these are."""
+    target = shared_folder(spark, "postings")
+    m = messages(spark, sf_dir)
+    postings.build(m, target, sessions=300)
+    read = postings.narrowed(m, read_table(spark, target), SEARCHES["search_implicit_and"][0])
+    return read.groupBy(*KEYS).agg(F.count("*").alias("texts_read"))
+
 _TERM = Or(Term("thatble"), Term("leon"))
 
 

@@ -27,7 +27,7 @@ def refresh(spark: SparkSession, inbox: str, schema: str, target: str, checkpoin
     stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def write_version(spark: SparkSession, target: str, number: int, batch: DataFrame, *, gone: DataFrame | None = None, key: str = "source_path", buckets: int = BUCKETS) -> None:
+def write_version(spark: SparkSession, target: str, number: int, batch: DataFrame, *, gone: DataFrame | None = None, key: str = "source_path", buckets: int = BUCKETS, order: list[str] = ()) -> None:
     """Version `number` of the table: the rows of the batch in place of those with the same key, without those with a key in `gone`."""
     batch = _bucketed(batch, key, buckets)
     leaving = batch.select(BUCKET, key) if gone is None else batch.select(BUCKET, key).unionByName(_bucketed(gone.select(key), key, buckets))
@@ -37,10 +37,10 @@ def write_version(spark: SparkSession, target: str, number: int, batch: DataFram
         raise ValueError(f"{target} was not made with {buckets} buckets")
     old = [there[b] for b in touched if b in there]
     if not old:
-        _write(batch, f"{target}/version={number:010d}")
+        _write(batch, f"{target}/version={number:010d}", order)
         return
     kept = _bucketed(spark.read.parquet(*old), key, buckets).join(leaving.select(key).distinct(), key, "left_anti")
-    _write(kept.unionByName(batch), f"{target}/version={number:010d}")
+    _write(kept.unionByName(batch), f"{target}/version={number:010d}", order)
     # A bucket of which no row is left has no folder of its own: an empty one says so.
     written = _buckets(spark, f"{target}/version={number:010d}")
     for b in touched:
@@ -49,10 +49,10 @@ def write_version(spark: SparkSession, target: str, number: int, batch: DataFram
             batch.limit(0).drop(BUCKET).write.parquet(folder.toString())
 
 
-def rebuild(messages: DataFrame, target: str, *, key: str = "source_path", buckets: int = BUCKETS) -> None:
+def rebuild(messages: DataFrame, target: str, *, key: str = "source_path", buckets: int = BUCKETS, order: list[str] = ()) -> None:
     """The table at `target` is these messages alone from now on; later refreshes go on from there. Not to be called during a refresh."""
     numbers = [n for n, _, _ in _versions(messages.sparkSession, target)]
-    _write(_bucketed(messages, key, buckets), f"{target}/version={max(numbers, default=-1):010d}{FULL}")
+    _write(_bucketed(messages, key, buckets), f"{target}/version={max(numbers, default=-1):010d}{FULL}", order)
 
 
 def read_table(spark: SparkSession, target: str, below: int | None = None) -> DataFrame | None:
@@ -75,9 +75,10 @@ def _bucketed(rows: DataFrame, key: str, buckets: int) -> DataFrame:
     return rows.withColumn(BUCKET, F.concat(F.pmod(F.xxhash64(key), F.lit(buckets)), F.lit(f"-of-{buckets}")))
 
 
-def _write(rows: DataFrame, path: str) -> None:
+def _write(rows: DataFrame, path: str, order: list[str] = ()) -> None:
     # Rebalancing splits a bucket with one large source among tasks, where plain repartitioning would not.
-    rows.hint("rebalance", F.col(BUCKET)).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+    dealt = rows.hint("rebalance", F.col(BUCKET))
+    (dealt.sortWithinPartitions(BUCKET, *order) if order else dealt).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
 
 
 def _folder(spark: SparkSession, path: str):
