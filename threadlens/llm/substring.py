@@ -179,21 +179,19 @@ def repeated_chunks(docs: DataFrame, keys: list[str], *, text_col: str = "text",
                 yield _packed(out)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, payloads in _runs(batches, passed := []):
+        for bucket, payloads in _runs(batches, passing=True):
+            if bucket is None:
+                yield _packed(payloads)
+                continue
             digest, *spot = (np.concatenate(c) for c in zip(*(_unpack(p, np.uint64, *_SPOT) for p in payloads), strict=True))
             _, after = _later(digest, spot)
             spot = _take(spot, after)
             found = [(1, bucket, _pack(*_take(spot, r))) for bucket, r in _by_bucket(_key_bucket(spot[:-1], n))]
             if found:
                 yield _packed(found)
-            if passed:
-                yield _packed(passed)
-                passed.clear()
-        if passed:
-            yield _packed(passed)
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, payloads in _runs(batches, None):
+        for _, payloads in _runs(batches):
             spot = [np.concatenate(c) for c in zip(*(_unpack(p, *_SPOT) for p in payloads), strict=True)]
             *key, place = _take(spot, np.lexsort(spot[::-1]))
             starts = np.flatnonzero(_changes(key))
@@ -205,13 +203,14 @@ def repeated_chunks(docs: DataFrame, keys: list[str], *, text_col: str = "text",
     return places.mapInArrow(gathered, "id long, hash long, row long, chunks binary")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], passed: list | None) -> Iterator[tuple[int, list[bytes]]]:
-    """Payloads of consecutive rows of a bucket. With `passed`, rows of kind 1 are put there instead."""
+def _runs(batches: Iterator[pa.RecordBatch], passing: bool = False) -> Iterator[tuple[int | None, list]]:
+    """Payloads of consecutive rows of a bucket. With `passing`, rows of kind 1 come as they are, without a bucket, batch by batch."""
     held: list[bytes] = []
     now = -1
     for batch in batches:
+        passed = []
         for kind, bucket, payload in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "payload")), strict=True):
-            if passed is not None and kind:
+            if passing and kind:
                 passed.append((1, bucket, payload))
                 continue
             if bucket != now and held:
@@ -219,6 +218,8 @@ def _runs(batches: Iterator[pa.RecordBatch], passed: list | None) -> Iterator[tu
                 held = []
             now = bucket
             held.append(payload)
+        if passed:
+            yield None, passed
     if held:
         yield now, held
 
