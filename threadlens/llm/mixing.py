@@ -1,6 +1,6 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
-Efraimidis-Spirakis sampling: each document draws u in (0, 1) from its id and gets the exponential key -ln(u) / w, w being its
+Efraimidis-Spirakis sampling: each document draws u in (0, 1) from its id and text and gets the exponential key -ln(u) / w, w being its
 quality weight; within a source, documents are taken in the order of their keys until the source's budget of words is used up.
 A budget of several times the source takes complete epochs first; the rest is selected by key.
 
@@ -11,7 +11,7 @@ prefix-summed. A source with a third of all rows thus costs a sort of a thousand
 The table of sources (one row each) is ranked in one task. Nothing else is gathered.
 
 Defined results: a null text has no words; a null source is a source of its own, last in order; rows without words take nothing;
-equal keys (repeated rows) are taken in the order of id and size; extra columns are ignored by mix() and kept by mix_documents();
+documents without an id draw by their texts; rows equal in id and text have equal keys, and which of them is taken makes no difference; extra columns are ignored by mix() and kept by mix_documents();
 an empty table gives an empty result.
 """
 
@@ -45,9 +45,9 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(LEAST_WEIGHT), F.lit(1.0) - F.lit(4.0) * junk / F.greatest(F.length(text), F.lit(1)))
 
 
-def sampling_key(doc_id: Column, size: Column, weight: Column, seed: str) -> Column:
-    """-ln(u) / weight; u comes from the first 52 bits of an MD5, so that reruns and other engines agree."""
-    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), size.cast("string")))
+def sampling_key(doc_id: Column, size: Column, text_md5: Column, weight: Column, seed: str) -> Column:
+    """-ln(u) / weight; u comes from the first 52 bits of an MD5 of id, size and text, so that reruns and other engines agree."""
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), size.cast("string"), text_md5))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     return -F.log(u) / weight
 
@@ -133,8 +133,8 @@ def _take(keyed: DataFrame, plan: DataFrame, row: str | None = None) -> DataFram
 def _keyed(text: Column, doc_id: Column, source: Column, seed: str, buckets: int, *more: Column):
     size = n_words(text)
     return lambda docs: (
-        docs.select(*more, doc_id.alias("id"), source.cast("string").alias("source"), size.alias("size"), quality_weight(text).alias("weight"))
-        .withColumn("key", sampling_key(F.col("id"), F.col("size"), F.col("weight"), seed))
+        docs.select(*more, doc_id.alias("id"), source.cast("string").alias("source"), size.alias("size"), F.md5(F.coalesce(text, F.lit(""))).alias("text_md5"), quality_weight(text).alias("weight"))
+        .withColumn("key", sampling_key(F.col("id"), F.col("size"), F.col("text_md5"), F.col("weight"), seed)).drop("text_md5")
         .withColumn("bucket", key_bucket(F.col("key"), buckets))
     )
 
@@ -202,7 +202,7 @@ WITH sized AS (
   SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 keyed AS (
   SELECT doc_id, source, size,
-    -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || size), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+    -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || size || ':' || md5(coalesce(text, ''))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
     / greatest(0.25::DOUBLE, 1.0::DOUBLE - 4.0::DOUBLE
         * (length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[#*$%&|<>!{}\\[\\]=_~^\\\\@]', '', 'g')))
         / greatest(length(coalesce(text, '')), 1)) AS key
