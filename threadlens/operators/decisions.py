@@ -350,6 +350,38 @@ def check_evidence(evidence: DataFrame, messages: DataFrame, keys: list[str]) ->
     return evidence.join(found, "evidence_id", "left").select("evidence_id", outcome.alias("outcome"))
 
 
+def review_messages(decided: DataFrame, messages: DataFrame) -> DataFrame:
+    """The messages that decisions (decision_id, session_id, source_path, evidence) are reviewed against: decision_id, ts, id, role, text, origin.
+
+    Those of the decision's session and, if it names one, of its source. For decisions of which there are none the quotes stored with
+    them stand for messages (`origin` is evidence, ids count the quotes), said by the role they name or else by the user if they are
+    explicit; decisions without either have no rows. Both are found in one pass over the messages.
+    """
+    d = decided.withColumns({"session_id": F.coalesce("session_id", F.lit("")), "source_path": F.trim(F.coalesce("source_path", F.lit("")))})
+    asked = d.select("decision_id", F.col("session_id").alias("asked_session"), F.col("source_path").alias("asked_source"))
+    here = messages.join(asked, (F.col("session_id") == F.col("asked_session")) & ((F.col("asked_source") == "") | (F.col("source_path") == F.col("asked_source"))))
+    found = here.select("decision_id", "ts", F.col("id").cast("long").alias("id"), "role", "text", F.lit("session").alias("origin"))
+    left = d.join(found.select("decision_id").distinct(), "decision_id", "left_anti").select("decision_id", F.posexplode("evidence").alias("place", "e"))
+    role = F.lower(F.trim(F.coalesce("e.role", F.lit(""))))
+    said = F.when(role.isin("user", "assistant"), role).when(F.lower(F.coalesce("e.kind", F.lit(""))) == "explicit", "user").otherwise("assistant")
+    stored = left.where(T.trim_white(F.coalesce("e.quote", F.lit(""))) != "")
+    return found.unionByName(stored.select("decision_id", F.lit(None).cast("double").alias("ts"), F.col("place").cast("long").alias("id"), said.alias("role"), F.col("e.quote").alias("text"), F.lit("evidence").alias("origin")))
+
+
+def check_review(decided: DataFrame, messages: DataFrame) -> DataFrame:
+    """Each decision with the origin of what it is reviewed against (none if there is nothing) and the outcomes of its evidence, in order.
+
+    Outcomes are those of check_evidence(); evidence is an array of (kind, quote, role), checked anywhere in the messages.
+    """
+    reloaded = review_messages(decided, messages)
+    origins = reloaded.groupBy("decision_id").agg(F.max("origin").alias("origin"), F.count("*").alias("n_messages"))
+    each = decided.select("decision_id", F.posexplode("evidence").alias("place", "e")).select(F.struct("decision_id", "place").alias("evidence_id"), "decision_id", F.col("e.kind").alias("kind"), F.col("e.quote").alias("quote"), F.lit(0).alias("at"))
+    checked = check_evidence(each, reloaded, ["decision_id"]).select(F.col("evidence_id.decision_id").alias("decision_id"), F.struct("evidence_id.place", "outcome").alias("o"))
+    outcomes = checked.groupBy("decision_id").agg(F.transform(F.array_sort(F.collect_list("o")), lambda o: o["outcome"]).alias("outcomes"))
+    out = decided.select("decision_id").join(origins, "decision_id", "left").join(outcomes, "decision_id", "left")
+    return out.select("decision_id", F.coalesce("origin", F.lit("none")).alias("origin"), F.coalesce("n_messages", F.lit(0).cast("long")).alias("n_messages"), F.coalesce("outcomes", F.array().cast("array<string>")).alias("outcomes"))
+
+
 def context(messages: DataFrame, keys: list[str], radius: int = 2) -> DataFrame:
     """Each message with the ids of those around it, `radius` to either side."""
     around = Window.partitionBy(*keys).orderBy(F.coalesce("ts", F.lit(0.0)), "id").rowsBetween(-radius, radius)

@@ -9,10 +9,15 @@ from ..functions import regexes as R
 from ..functions import text as T
 
 
-def signal_messages(messages: DataFrame, keys: list[str]) -> DataFrame:
-    """User and assistant messages with text, numbered in order, with the role before each."""
+def signal_messages(messages: DataFrame, keys: list[str], told: dict[str, Column] | None = None) -> DataFrame:
+    """User and assistant messages with text, in order, with the role before each; `told` are columns of what their `role` and `text` tell.
+
+    With `told`, the texts themselves are left behind, so what is shuffled to bring a session together are these columns only.
+    """
     m = messages.withColumn("role", F.lower(F.trim("role"))).withColumn("text", T.trim_white(F.col("text")))
     m = m.where((F.col("text") != "") & F.col("role").isin("user", "assistant") & ~T.is_noise(F.col("text")))
+    if told is not None:
+        m = m.select(*keys, "ts", "id", "role", *[c.alias(name) for name, c in told.items()])
     order = Window.partitionBy(*keys).orderBy(F.coalesce("ts", F.lit(0.0)), "id")
     return m.withColumn("before", F.lag("role").over(order))
 
@@ -22,14 +27,13 @@ def _clamp(c: Column) -> Column:
 
 
 def signal_counts(messages: DataFrame, keys: list[str]) -> DataFrame:
-    m = signal_messages(messages, keys)
-    text, answered = F.col("text"), (F.col("before") == "assistant") & (F.col("role") == "user")
+    text = F.col("text")
     correction, passed, failed = T.matches(text, R.CORRECTION), T.matches(text, R.TEST_PASSED), T.matches(text, R.TEST_FAILED)
     low = F.lower(text)
     code = low.contains("```") | low.contains("func ") | low.contains("class ") | low.contains("implement") | low.contains("实现") | low.contains("代码")
     flags = {
-        "corrections": answered & correction,
-        "acceptances": answered & ~correction & T.matches(text, R.ACCEPTANCE),
+        "corrections": correction,
+        "acceptances": ~correction & T.matches(text, R.ACCEPTANCE),
         "decisions": T.matches(text, R.DECISION),
         "questions": T.matches(text, R.QUESTION),
         "workflows": T.matches(text, R.WORKFLOW),
@@ -38,7 +42,10 @@ def signal_counts(messages: DataFrame, keys: list[str]) -> DataFrame:
         "failures": failed,
         "one_offs": T.matches(text, R.ONE_OFF),
     }
-    counted = m.select(*keys, T.secret_count(text).alias("secrets"), *[F.coalesce(c, F.lit(False)).alias(n) for n, c in flags.items()])
+    told = {"secrets": T.secret_count(text), **{n: F.coalesce(c, F.lit(False)) for n, c in flags.items()}}
+    # Only an answer corrects or accepts.
+    answered = F.coalesce((F.col("before") == "assistant") & (F.col("role") == "user"), F.lit(False))
+    counted = signal_messages(messages, keys, told).withColumns({n: F.col(n) & answered for n in ("corrections", "acceptances")})
     return counted.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("secrets").alias("secrets"), *[F.count_if(F.col(n)).alias(n) for n in flags])
 
 

@@ -286,3 +286,36 @@ SELECT count(*) AS n FROM k"""
 def segment_fallbacks_made(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many sessions' candidates were segmented by a fallback, by the reasons made from answers."""
     return skills.fallbacks(skills.fallback_reasons(_answered_windows(spark, sf_dir)[1], KEYS))
+
+
+# Every conversation has a decision with two pieces of evidence: words of its second message, and words that nobody said. A third of the
+# decisions names no source, a third one of the two sources, a third one that is gone; half of these have no stored quotes.
+_QUOTES_SQL = f"""{MESSAGES_SQL}, q AS (SELECT conv_id AS c, coalesce(substr(max(CASE WHEN turn = 1 THEN text END), 3, 25), '') AS quote FROM conversations GROUP BY conv_id),
+d AS (SELECT *, CASE c % 3 WHEN 0 THEN '' WHEN 1 THEN '/src/' || c || '/1' ELSE '/gone' END AS source, CASE WHEN c % 3 = 2 AND c % 2 = 1 THEN '' ELSE quote END AS first_quote, CASE WHEN c % 3 = 2 AND c % 2 = 1 THEN '' ELSE 'words that nobody said' END AS other_quote FROM q),
+here AS (SELECT d.c, m.role, m.text FROM d JOIN m ON m.session_id = printf('conv-%06d', c) AND (source = '' OR source = m.source_path)),
+stored AS (SELECT c, unnest([first_quote, other_quote]) AS text, unnest([CASE WHEN c % 4 = 0 THEN 'user' ELSE 'assistant' END, 'assistant']) AS role FROM d WHERE c NOT IN (SELECT c FROM here)),
+known AS (SELECT c, role, text, 'session' AS origin FROM here UNION ALL SELECT c, role, text, 'evidence' FROM stored WHERE trim(text, E' \\n\\t\\r') <> ''),
+asked AS (SELECT c, 0 AS k, first_quote AS quote, c % 4 = 0 AS explicit FROM d UNION ALL SELECT c, 1, other_quote, false FROM d),
+hits AS (SELECT asked.c, k, bool_or(known.role = 'user') AS by_user FROM asked JOIN known ON known.c = asked.c AND contains(known.text, quote) WHERE length(trim(quote, E' \\n\\t\\r')) >= {P.LEAST_QUOTE} GROUP BY asked.c, k)"""
+
+
+@register(
+    f"""WITH {_QUOTES_SQL}
+SELECT 'd' || d.c AS decision_id, coalesce((SELECT max(origin) FROM known WHERE known.c = d.c), 'none') AS origin, (SELECT count(*) FROM known WHERE known.c = d.c) AS n_messages,
+  (SELECT string_agg(CASE WHEN length(trim(quote, E' \\n\\t\\r')) < {P.LEAST_QUOTE} THEN 'too_short' WHEN hits.by_user IS NULL THEN 'not_found' WHEN explicit AND NOT hits.by_user THEN 'wrong_role' ELSE 'ok' END, '|' ORDER BY asked.k)
+   FROM asked LEFT JOIN hits ON hits.c = asked.c AND hits.k = asked.k WHERE asked.c = d.c) AS outcomes FROM d"""
+)
+def review_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What decisions are reviewed against, and whether their evidence stands in it."""
+    c = F.col("conv_id").cast("long").alias("c")
+    q = table(spark, sf_dir, "conversations").groupBy(c).agg(F.coalesce(F.substring(F.max(F.when(F.col("turn") == 1, F.col("text"))), 3, 25), F.lit("")).alias("quote"))
+    bare = (F.col("c") % 3 == 2) & (F.col("c") % 2 == 1)
+    source = F.when(F.col("c") % 3 == 0, "").when(F.col("c") % 3 == 1, F.concat(F.lit("/src/"), "c", F.lit("/1"))).otherwise("/gone")
+    explicit = F.when(F.col("c") % 4 == 0, "explicit").otherwise("transcript")
+    piece = lambda kind, quote: F.struct(kind.alias("kind"), F.when(bare, "").otherwise(quote).alias("quote"), F.lit("").alias("role"))
+    decided = q.select(
+        F.concat(F.lit("d"), "c").alias("decision_id"), F.format_string("conv-%06d", "c").alias("session_id"), source.alias("source_path"),
+        F.array(piece(explicit, F.col("quote")), piece(F.lit("transcript"), F.lit("words that nobody said"))).alias("evidence"),
+    )
+    found = decisions.check_review(decided, messages(spark, sf_dir))
+    return found.withColumn("outcomes", F.array_join("outcomes", "|"))
