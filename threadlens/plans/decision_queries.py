@@ -243,7 +243,7 @@ def decisions_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Answers on windows of three user turns that overlap by one; some turns are left out, some windows fail, some sessions have no turns. ------
 
-_N = F.col("c") + F.col("window") * 3 + F.col("index")
+_N = "c + window * 3 + index"
 
 
 def _answered_windows(spark: SparkSession, sf_dir: str):
@@ -252,8 +252,8 @@ def _answered_windows(spark: SparkSession, sf_dir: str):
     w = windows.turn_windows(m, KEYS, size=3, overlap=1)
     each = w.withColumn("c", F.substring("session_id", 6, 6).cast("long")).withColumn("index", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") + 1)))
     # Of two answers on a turn the later one counts; answers beyond the window count for nothing.
-    answers = each.where(_N % 5 != 0).select(*KEYS, "window", "index", F.when(_N % 3 == 0, "new").otherwise("same").alias("decision"), F.lit(2).alias("place"))
-    answers = answers.unionAll(each.where(_N % 5 != 0).select(*KEYS, "window", "index", F.lit("new").alias("decision"), F.lit(1).alias("place")))
+    answers = each.where(f"({_N}) % 5 <> 0").select(*KEYS, "window", "index", F.when(F.expr(f"({_N}) % 3 = 0"), "new").otherwise("same").alias("decision"), F.lit(2).alias("place"))
+    answers = answers.unionAll(each.where(f"({_N}) % 5 <> 0").select(*KEYS, "window", "index", F.lit("new").alias("decision"), F.lit(1).alias("place")))
     errors = each.where("c % 9 = 4 AND window >= 1 AND index = 0").select(*KEYS, "window", F.format_string("no answer on %d", "window").alias("error"))
     return skills.turns_of_answers(sessions, w, answers, errors, KEYS)
 
