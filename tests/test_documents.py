@@ -1,10 +1,16 @@
 """Publishing documents as files: conflicts, repeated attempts, lost runs, and recording that fails."""
 
+import hashlib
+
 import pytest
+from pyspark.sql import functions as F
 
+from threadlens.operators import skills
 from threadlens.operators.candidates import COLUMNS
 from threadlens.sinks import documents as sink
 
+from .test_reference import made
+
 SCHEMA = "id string, slug string, document string"
 
 
@@ -62,3 +68,20 @@ def test_candidates_move_with_their_files(spark, tmp_path):
     assert outcomes(got) == [("a", "published"), ("b", "not_approved"), ("c", "conflict"), ("x", "missing")]
     assert [(r.id, r.status, r.version) for r in recorded[0]] == [("a", "published", 4)] and files(spark, root) == {"slug-a": "A"}
     assert [(e.candidate_id, e.action, e.reason) for e in recorded[1]] == [("a", "transition", f"published {root}/slug-a")]
+
+
+def test_digest_of_sessions(spark):
+    """Sessions whose title gives no slug are named by a digest of their messages in order, which no row holds together."""
+    said = [("a", "user", "修复解析器"), ("a", "assistant", "好的 done"), ("b", "user", "修复"), ("a", "user", "谢谢\nthanks"), ("b", "assistant", "all tests passed")]
+    talk = made(spark, said).repartition(3)
+    got = {r.session_id: (r.title, r.slug) for r in skills.bundles(talk, ["tool", "session_id"]).collect()}
+    for session, (title, slug) in got.items():
+        text = "\0".join([title, *(f"{role}\0{text}" for s, role, text in said if s == session)])
+        assert slug == "skill-" + hashlib.sha256(text.encode()).hexdigest()[:8]
+    assert sorted(got) == ["a", "b"]
+
+
+def test_split_slugs(spark):
+    cases = {"": "split-skill", "short": "short-part-2", "a" * 70: "a" * 57 + "-part-2", "a" * 56 + "-b": "a" * 56 + "-part-2"}
+    rows = spark.createDataFrame([(s,) for s in cases], "slug string")
+    assert {r.slug: r.cut for r in rows.select("slug", skills.split_slug(F.col("slug")).alias("cut")).collect()} == cases

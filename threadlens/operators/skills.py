@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,6 +216,35 @@ def from_payload(candidates: DataFrame, schema: str) -> DataFrame:
     return candidates.withColumn("bundle", F.from_json("payload", schema))
 
 
+def streamed_digest(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and `digest`, the SHA-256 of a session's title and of role and text of its messages in order, all parted by zero characters.
+
+    The messages stream through the task that digests them, however many there are; none are held.
+    """
+    order = [F.coalesce("ts", F.lit(0.0)), F.col("id"), F.col("role"), F.col("text")]
+    rows = messages.select(*keys, "title", "ts", "id", "role", "text").repartition(*keys).sortWithinPartitions(*keys, *order).drop("ts", "id")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sha = None, hashlib.sha256()
+        put = lambda done: pa.RecordBatch.from_pylist([{**dict(zip(keys, k, strict=True)), "digest": d} for k, d in done])
+        for batch in batches:
+            done = []
+            for row in batch.to_pylist():
+                session = tuple(row[k] for k in keys)
+                if session != now:
+                    done += [(now, sha.hexdigest())] if now is not None else []
+                    now, sha = session, hashlib.sha256((row["title"] or "").encode())
+                if row["role"] is not None and row["text"] is not None:
+                    sha.update(f"\0{row['role']}\0{row['text']}".encode())
+            if done:
+                yield put(done)
+        if now is not None:
+            yield put([(now, sha.hexdigest())])
+
+    return rows.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", digest string")
+
+
 def bundles(messages: DataFrame, keys: list[str]) -> DataFrame:
     """One row per session with messages: the quality gate's columns, title, slug, trigger, risks and instructions."""
     m = clean_messages(messages)
@@ -220,12 +253,11 @@ def bundles(messages: DataFrame, keys: list[str]) -> DataFrame:
     titles = session_rollup(messages).groupBy(*keys).agg(F.coalesce(F.min_by(F.when(F.col("title") != "", F.col("title")), F.when(F.col("title") != "", F.struct("created", "source_path"))), F.lit("")).alias("title"))
     known = quality_gate(signal_bundle(messages, keys)).join(first, keys).join(titles, keys).join(instructions(m, keys), keys, "left")
     known = known.withColumn("plain", T.slugify(F.col("title")))
-    # Only sessions without a usable title are brought together for a digest.
+    # Only sessions without a usable title need a digest.
     bare = known.where(F.length("plain") < LEAST_SLUG).select(*keys)
-    said = F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), "role", "text"))), lambda x: F.concat(x["role"], F.lit("\0"), x["text"]))
-    digests = m.join(bare, keys, "left_semi").groupBy(*keys).agg(said.alias("said"))
+    digests = streamed_digest(m.join(bare, keys, "left_semi").join(known.where(F.length("plain") < LEAST_SLUG).select(*keys, "title"), keys), keys)
     out = known.join(digests, keys, "left")
-    named = F.concat(F.lit("skill-"), F.substring(F.sha2(F.concat(F.col("title"), F.lit("\0"), F.array_join("said", "\0")), 256), 1, 8))
+    named = F.concat(F.lit("skill-"), F.substring("digest", 1, 8))
     slug = cut_slug(F.when(F.length("plain") < LEAST_SLUG, named).otherwise(F.col("plain")))
     return out.select(
         *keys, "title", slug.alias("slug"), trigger(F.col("first_user"), F.col("intent")).alias("trigger"), F.coalesce("instructions", F.lit("")).alias("instructions"),
