@@ -90,3 +90,12 @@ def last_rounds(messages: DataFrame) -> DataFrame:
     m = messages.where(F.col("role").isin("user", "assistant")).withColumn("body", body).where((F.col("body") != "") & ~T.is_tool_noise(F.col("text")))
     newest = F.struct(F.coalesce("ts", F.lit(0.0)).alias("ts"), "id", T.clip(F.col("body"), LAST_ROUND_CHARS).alias("body"))
     return m.groupBy(*LOGICAL).agg(*[F.coalesce(F.max(F.when(F.col("role") == r, newest))["body"], F.lit("")).alias(f"last_{r}") for r in ("user", "assistant")])
+
+
+def recent_with_rounds(messages: DataFrame, **options: object) -> DataFrame:
+    """recent() with the last user and assistant texts of each session; these are looked for in the sessions listed only."""
+    listed = recent(messages, **options)
+    keys = F.broadcast(listed.select(*LOGICAL).distinct())  # as few as the limit says
+    rounds = last_rounds(messages.join(keys, LOGICAL, "left_semi"))
+    out = listed.join(F.broadcast(rounds), LOGICAL, "left")
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("last_user", "last_assistant")})

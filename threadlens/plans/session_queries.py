@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import incremental, sessions, skills
+from ..sinks.results import json_line
 from .registry import KEYS, register
 from .search_sql import ROLLUP_SQL, TIME_SQL
 from .tables import MESSAGES_SQL, messages, table
@@ -154,3 +155,20 @@ SELECT id, CASE WHEN whole THEN 1 ELSE segment END::BIGINT AS segment FROM s WHE
 def skill_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The messages of each task; a session without user turns is one task."""
     return skills.segments(messages(spark, sf_dir), repaired_turns(spark, sf_dir), KEYS).select("id", "segment")
+
+
+@register(
+    rf"""WITH {MESSAGES_SQL}, {ROLLUP_SQL}, b AS (SELECT *, trim(text, E' \n\t\r') AS body FROM m WHERE role IN ('user', 'assistant')),
+n AS (SELECT tool, session_id, id, role, CASE WHEN length(body) > 2000 THEN substr(body, 1, 1999) || '…' ELSE body END AS said FROM b WHERE body <> ''),
+l AS (SELECT tool, session_id, coalesce(arg_max(said, id) FILTER (role = 'user'), '') AS u, coalesce(arg_max(said, id) FILTER (role = 'assistant'), '') AS a FROM n GROUP BY ALL),
+r AS (SELECT * FROM roll WHERE tool = 'codex' ORDER BY updated DESC, tool, session_id, source_path LIMIT 25)
+SELECT source_path, '{{"tool":' || to_json(tool) || ',"session_id":' || to_json(session_id) || ',"title":' || to_json(title) || ',"updated":' || to_json({TIME_SQL.format('updated')}) || ',"message_count":' || n_messages || ',"source_path":' || to_json(source_path)
+  || CASE WHEN coalesce(u, '') <> '' THEN ',"last_user":' || to_json(u) ELSE '' END || CASE WHEN coalesce(a, '') <> '' THEN ',"last_assistant":' || to_json(a) ELSE '' END || '}}' AS line
+FROM r LEFT JOIN l USING (tool, session_id)"""
+)
+def recent_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions last updated with their last rounds, as JSON lines with a fixed order of fields."""
+    rows = sessions.recent_with_rounds(messages(spark, sf_dir), tool="codex", limit=25)
+    fields = ["tool", "session_id", "title", "updated", ("message_count", "n_messages"), "source_path", "last_user", "last_assistant"]
+    named = {f if isinstance(f, str) else f[0]: F.col(f if isinstance(f, str) else f[1]) for f in fields}
+    return rows.select("source_path", json_line(named, ["last_user", "last_assistant"]).alias("line"))
