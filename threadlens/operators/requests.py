@@ -125,7 +125,9 @@ def answered(log: DataFrame, requests: DataFrame) -> DataFrame:
     states = known.join(was, "id", "left").select("id", F.lit(True).alias("is_state"), "status", "before", F.col("version").cast("long").alias("at_version"))
     rows = asked.unionByName(states, allowMissingColumns=True)
     order = [F.col("id"), F.desc("is_state"), F.col("seq"), F.col("version"), F.col("action"), F.desc("to_status"), F.col("actor"), F.col("reason")]
-    return rows.repartition("id").sortWithinPartitions(*order).mapInArrow(_fold, STEP)
+    # Not by `id` itself: where both sides of the union are partitioned by it, Spark 4.1 leaves that exchange out, and then merges small
+    # partitions of each side on its own, so that a state and its requests end up in different tasks.
+    return rows.repartition(F.xxhash64("id")).sortWithinPartitions(*order).mapInArrow(_fold, STEP)
 
 
 def outcomes(steps: DataFrame) -> DataFrame:
