@@ -32,3 +32,9 @@ def test_deletion_of_current_candidates(shuffled):
     current = candidates.latest(log_of(shuffled, 60))
     asked = current.selectExpr("id", "'deleted' AS to_status", "version", "'me' AS actor", "'why' AS reason")
     assert {r.id: r.outcome for r in requests.answered(current, asked).collect()} == {f"c{i}": "done" if i % 2 else "invalid" for i in range(60)}
+
+
+def test_restoring_each_candidate_once(shuffled):
+    log = log_of(shuffled, 600)
+    found, _ = requests.restore(log, log.select("id").distinct().selectExpr("id", "'me' AS actor", "'' AS reason"), NOW)
+    assert {r.id: r.outcome for r in found.collect()} == {f"c{i}": "not_deleted" if i % 2 else "done" for i in range(600)}
