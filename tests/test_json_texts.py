@@ -6,6 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from threadlens.functions import json_text
+from threadlens.functions import text as T
 from threadlens.sources.jsonl import content_text
 
 
@@ -55,6 +56,16 @@ def test_redaction_of_json(spark):
     assert got == cases | {None: None}
 
 
+def test_what_follows_a_value_is_no_json(spark):
+    """A text is JSON if all of it is one value."""
+    more = ['12 "token = abc" me@x.com', '{"a":"me@x.com"} password: "x"', '"me@x.com" token = "a b"', '["a"] token="x y"', '1, "b": 2', "1, 2", "1] 2", "1} 2", '{"a":1}{"b":2}', "1, ", " "]
+    whole = ['{"a":"x"} ', " 12\n", "null", '"a"', "[1, 2]", "true"]
+    rows = spark.createDataFrame([(c,) for c in more + whole], "j string")
+    got = rows.select("j", json_text.redact_json(F.col("j")).alias("r"), T.redact(F.col("j")).alias("plain"), json_text.canonical_json(F.col("j")).alias("c")).collect()
+    assert [r.j for r in got if r.c is not None] == whole
+    assert all(r.r == r.plain for r in got) and "token = abc" not in got[0].r
+
+
 def test_numbers(spark):
     cases = {
         "1e3": "1000", "1.50": "1.5", "0": "0", "12345678901234567890123": "1.2345678901234568e+22", "1e21": "1e+21", "1e20": "100000000000000000000", "123456.789": "123456.789",

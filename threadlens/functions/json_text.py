@@ -45,6 +45,15 @@ def json_object(fields: dict[str, Column]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
+def parse_json(text: Column) -> Column:
+    """The value of a JSON text, null for what is none. Spark's own function overlooks what follows the first value.
+
+    With more than one value in it a text can't be both the one element of a list and the one value of an object.
+    """
+    alone = [F.try_parse_json(F.concat(F.lit(a), text, F.lit(b))).isNotNull() for a, b in (("[", "]"), ('{"v":', "}"))]
+    return F.when(alone[0] & alone[1], F.try_parse_json(text))
+
+
 def _woven(gaps: Column, between: Column) -> Column:
     """gap, between, gap, ..., gap as one text."""
     return F.array_join(F.zip_with(gaps, between, lambda gap, x: F.concat(gap, F.coalesce(x, F.lit("")))), "")
@@ -88,10 +97,10 @@ def redact_json(text: Column) -> Column:
     What is no JSON is redacted as plain text. Keys that are equal once redacted stay as they are, in their old order.
     """
     changed = let(map_strings(text, redact), lambda after: F.when(after == text, text).otherwise(F.coalesce(canonical_json(after), after)))
-    return F.when(F.try_parse_json(text).isNull(), redact(text)).otherwise(changed)
+    return F.when(parse_json(text).isNull(), redact(text)).otherwise(changed)
 
 
 def canonical_json(text: Column) -> Column:
     """The same value with sorted keys and no spaces; {} for an empty text, null for what is no JSON."""
-    sorted_keys = F.to_json(F.try_parse_json(text))
+    sorted_keys = F.to_json(parse_json(text))
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit("{}")).otherwise(escape_html(map_numbers(sorted_keys, plain_number)))
