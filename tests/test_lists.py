@@ -38,3 +38,11 @@ def test_json_lines(spark, tmp_path):
 def test_sessions_of_events(spark):
     e = spark.sql("SELECT * FROM VALUES (1L, TIMESTAMP '2024-01-01 00:00:00'), (1L, TIMESTAMP '2024-01-01 00:20:00'), (1L, TIMESTAMP '2024-01-01 02:00:00'), (2L, TIMESTAMP '2024-01-01 00:00:00') AS t(user_id, ts)")
     assert sorted((r.user_id, r.n) for r in session_activity(e).collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_skills_text_is_parsed_once(spark):
+    """The lines of a document stand in the plan once, however many faults are looked for in them."""
+    d = spark.range(3).selectExpr("concat('---\nname: a\ndescription: ', id, '\n---\nbody') AS text", "'a' AS expected")
+    read = d.select(skills.parse_markdown(F.col("text"), F.col("expected")).alias("p")).select("p.*")
+    assert [tuple(r) for r in read.collect()] == [("a", str(i), None) for i in range(3)]
+    assert read._jdf.queryExecution().analyzed().toString().count("split(") == 1

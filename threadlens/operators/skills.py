@@ -165,25 +165,33 @@ def fallbacks(candidates: DataFrame) -> DataFrame:
 
 def parse_markdown(document: Column, expected: Column) -> Column:
     """A skill's text form read back: a struct of name, description and `problem`, the first thing that is wrong, null if nothing is."""
-    lines = F.transform(F.split(F.replace(document, F.lit("\r\n"), F.lit("\n")), "\n"), T.trim_white)
-    end = F.array_position(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), "---")
-    head = F.filter(F.slice(lines, 2, F.greatest((end - 1).cast("int"), F.lit(0))), lambda x: (x != "") & ~x.startswith("#"))
     field = lambda x: T.trim_white(F.split_part(x, F.lit(":"), F.lit(1)))
-    value = lambda name: F.transform(F.filter(head, lambda x: field(x) == name), lambda x: T.trim_white(F.substring(x, F.locate(":", x) + 1, F.length(x))))
-    names, texts = value("name"), value("description")
-    name = F.regexp_replace(F.get(names, F.lit(0)), r'^"+|"+\z', "")
-    raw = F.get(texts, F.lit(0))
-    quoted = raw.startswith('"')
-    told = F.when(quoted, F.try_variant_get(F.try_parse_json(raw), "$", "string")).otherwise(raw)
-    body = F.array_join(F.slice(lines, (end + 2).cast("int"), F.greatest(F.size(lines), F.lit(1))), "")
-    problem = (
-        F.when(T.trim_white(F.coalesce(document, F.lit(""))) == "", "empty").when((F.size(lines) < 4) | (lines[0] != "---"), "no opening").when(end == 0, "no closing")
-        .when(F.exists(head, lambda x: ~x.contains(":")), "malformed line").when(F.exists(head, lambda x: ~field(x).isin("name", "description")), "unsupported key")
-        .when((F.size(names) != 1) | (F.get(names, F.lit(0)) == ""), "name").when((F.size(texts) != 1) | (raw == ""), "description").when(told.isNull(), "quoting")
-        .when((F.length(name) > SLUG_CHARS) | ~T.matches(name, R.SLUG), "slug").when((expected != "") & (name != expected), "other name")
-        .when((T.trim_white(told) == "") | (F.length(told) > 1024), "description").when(T.secret_count(document) > 0, "sensitive").when(T.trim_white(body) == "", "no body")
-    )
-    return F.struct(name.alias("name"), told.alias("description"), problem.alias("problem"))
+    value = lambda head, name: F.transform(F.filter(head, lambda x: field(x) == name), lambda x: T.trim_white(F.substring(x, F.locate(":", x) + 1, F.length(x))))
+
+    # Each part is worked out once a document, however often what follows names it.
+    def of_lines(document: Column, lines: Column) -> Column:
+        end = F.array_position(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))), "---")
+        return T.let(end, lambda end: T.let(_head(lines, end), lambda head: T.let(F.struct(value(head, "name").alias("names"), value(head, "description").alias("texts")), lambda v: of_head(document, lines, end, head, v["names"], v["texts"]))))
+
+    def _head(lines: Column, end: Column) -> Column:
+        return F.filter(F.slice(lines, 2, F.greatest((end - 1).cast("int"), F.lit(0))), lambda x: (x != "") & ~x.startswith("#"))
+
+    def of_head(document: Column, lines: Column, end: Column, head: Column, names: Column, texts: Column) -> Column:
+        name = F.regexp_replace(F.get(names, F.lit(0)), r'^"+|"+\z', "")
+        raw = F.get(texts, F.lit(0))
+        told = F.when(raw.startswith('"'), F.try_variant_get(F.try_parse_json(raw), "$", "string")).otherwise(raw)
+        body = F.array_join(F.slice(lines, (end + 2).cast("int"), F.greatest(F.size(lines), F.lit(1))), "")
+        problem = lambda name, told: (
+            F.when(T.trim_white(F.coalesce(document, F.lit(""))) == "", "empty").when((F.size(lines) < 4) | (lines[0] != "---"), "no opening").when(end == 0, "no closing")
+            .when(F.exists(head, lambda x: ~x.contains(":")), "malformed line").when(F.exists(head, lambda x: ~field(x).isin("name", "description")), "unsupported key")
+            .when((F.size(names) != 1) | (F.get(names, F.lit(0)) == ""), "name").when((F.size(texts) != 1) | (raw == ""), "description").when(told.isNull(), "quoting")
+            .when((F.length(name) > SLUG_CHARS) | ~T.matches(name, R.SLUG), "slug").when((expected != "") & (name != expected), "other name")
+            .when((T.trim_white(told) == "") | (F.length(told) > 1024), "description").when(T.secret_count(document) > 0, "sensitive").when(T.trim_white(body) == "", "no body")
+        )
+        return T.let(F.struct(name.alias("name"), told.alias("told")), lambda v: F.struct(v["name"].alias("name"), v["told"].alias("description"), problem(v["name"], v["told"]).alias("problem")))
+
+    lines = lambda document: F.transform(F.split(F.replace(document, F.lit("\r\n"), F.lit("\n")), "\n"), T.trim_white)
+    return T.let(document, lambda d: T.let(lines(d), lambda x: of_lines(d, x)))
 
 
 def extract_pending(messages: DataFrame, sessions: DataFrame, candidates: DataFrame, used: DataFrame, keys: list[str]) -> DataFrame:
