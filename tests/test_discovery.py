@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from threadlens.functions import text as T
 from threadlens.operators import decisions, skills
 from threadlens.operators.search import Near, Not, Term, search_enriched
-from threadlens.sources import discovery
+from threadlens.sources import discovery, jsonl
 
 from .test_reference import made
 
@@ -74,3 +74,20 @@ def test_pending_absorbs_longer_ids(spark):
     assert got["x"].status == "failed" and got["x"].slug == "empty-session-x" and got["ab"].slug == "fix-the-parser-2"
     assert got["ab"].status == "draft" or got["ab"].score == 0.0
     assert sorted(got) == ["ABc", "ab", "x"]
+
+
+def test_many_files_of_a_folder(spark, tmp_path):
+    """Of folders that hold many of the files asked for, just these are read, each once, also where one folder is in another."""
+    asked = []
+    for k in range(24):
+        folder = tmp_path / "p+q 1%20" / ("in/ner" if k % 3 == 0 else "")
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"s{k}.jsonl").write_text(json.dumps({"type": "user", "sessionId": f"s{k}", "message": {"content": f"text {k}"}}) + "\n")
+        asked += [f"file:{folder}/s{k}.jsonl"] if k % 2 == 0 else []
+    assert sorted(r.text for r in jsonl.read_claude(spark, asked).collect()) == sorted(f"text {k}" for k in range(0, 24, 2))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1g")  # a partition for each file that is read
+    try:
+        opened = jsonl._opened(spark, asked)
+        assert len(opened.inputFiles()) == 24 and opened.rdd.getNumPartitions() == 12
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")

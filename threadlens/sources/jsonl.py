@@ -6,6 +6,8 @@ no JSON objects are dropped. Values that later lines inherit are filled forward
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,30 @@ from ..functions.regexes import UUID
 from ..functions.timestamps import timestamp_epoch
 from ..operators.windows import fill_forward
 
+#: Files to be read for each folder that holds them, from which on folders are listed.
+FILES_A_FOLDER = 4
+
 COLUMNS = ["tool", "session_id", "cwd", "title", "ts", "role", "text", "source_path", "line"]
 
 
+def plain_path(path: Column) -> Column:
+    """A path as listings write it, from a URI."""
+    decoded = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return F.regexp_replace(decoded, "^file:/+", "file:/")
+
+
+def _opened(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """The lines of files. Spark takes a task for each path to be listed, so of many files as listings write them their folders are listed, and other files are left out."""
+    read = lambda p: spark.read.text(p, lineSep="\n", recursiveFileLookup=True)
+    listed = isinstance(paths, list) and all(re.match("file:/[^/]|(?!file:)[a-z0-9]+://", p) for p in paths)
+    folders = {p.rpartition("/")[0] for p in paths} if listed else set()
+    above = lambda folder: any(folder[: m.start()] in folders for m in re.finditer("/", folder))
+    folders = sorted(f for f in folders if not above(f))
+    if not listed or len(paths) < FILES_A_FOLDER * len(folders):
+        return read(paths)
+    return read(folders).where(plain_path(F.col("_metadata.file_path")).isin(paths))
+
+
 def lines(spark: SparkSession, paths: list[str] | str, hint: str) -> DataFrame:
     """source_path, line and v, the parsed line, of the lines that contain `hint`.
 
@@ -25,7 +48,7 @@ def lines(spark: SparkSession, paths: list[str] | str, hint: str) -> DataFrame:
     """
     row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     line = F.concat(F.lpad(F.hex("_metadata.file_block_start"), 12, "0"), F.lpad(F.hex(row), 9, "0"))
-    each = spark.read.text(paths, lineSep="\n", recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("source_path"), line.alias("line"), F.col("value").alias("raw"))
+    each = _opened(spark, paths).select(F.col("_metadata.file_path").alias("source_path"), line.alias("line"), F.col("value").alias("raw"))
     parsed = each.select("source_path", "line", F.when(F.col("raw").contains(hint), F.try_parse_json("raw")).alias("v"))
     return parsed.where(F.schema_of_variant("v").startswith("OBJECT"))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.incremental import to_refresh
 from ..sources.discovery import read_all, sources
-from ..sources.jsonl import COLUMNS
+from ..sources.jsonl import COLUMNS, plain_path
 from ..sources.opencode import list_sessions, session_parts, told
 from .refresh import BUCKETS, FULL, _bucketed, _folder, _versions, _write, read_table, write_version
 
@@ -30,12 +30,6 @@ SCHEMA = "unit string, tool string, session_id string, cwd string, title string,
 REPORT = ["tool", "source_path", "outcome", "sessions", "removed", "messages", "error"]
 
 
-def plain_path(path: Column) -> Column:
-    """A path as listings write it, from a URI."""
-    decoded = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
-    return F.regexp_replace(decoded, "^file:/+", "file:/")
-
-
 def messages_of(table: DataFrame) -> DataFrame:
     return table.where("line IS NOT NULL").select(*COLUMNS)
 
