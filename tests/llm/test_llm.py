@@ -414,3 +414,11 @@ def test_near_copies(spark, empty):
         if some is not ids:
             assert set(got) == set(label)
     assert corpus_pipeline.drop_near_copies(spark, empty, "").count() == 0
+
+
+def test_near_copies_are_linked_by_fingerprints(spark):
+    """A radius that no fingerprints meet leaves all texts apart, those of one hub too; the usual one joins them."""
+    text = words(200).split()
+    made = [" ".join([*text[:k], "z", *text[k + 1 :]]) for k in range(20, 180, 20)]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    assert near_copies.keep_one(docs).count() == 1 and near_copies.keep_one(docs, radius=-1).count() == len(made)

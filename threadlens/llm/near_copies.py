@@ -7,7 +7,7 @@ chance of (1 - 0.8 ** 5) ** 25, 5e-5, and less above it. In a tile, fingerprints
 counts; pairs within RADIUS bits are verified by the exact similarity of their sets, and only verified links count. Pairs of sets of
 fewer than SMALL shingles, whose fingerprints vary more, are all verified. Texts of the same words (A-Z folded) are one class.
 
-How it scales: first, each class is compared once, with the one among those under its keys that shares keys with the most others, which
+How it scales: first, each class is compared once, by fingerprints and then by sets, with the one among those under its keys that shares keys with the most others, which
 in a group of near copies is the text that they derive from; so a large group costs one comparison a member. Then only keys whose classes
 are still in different parts go to tiles, in which pairs of one part are skipped. That grows with the square of a key's classes only
 as far as they are near copies of none that many others are near to.
@@ -114,6 +114,20 @@ def _sets(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "class long, hashes binary")
 
 
+def _within(pairs: DataFrame, classes: DataFrame, radius: int) -> DataFrame:
+    """The pairs (a, b) of classes whose fingerprints differ in at most `radius` bits, and those of small sets."""
+
+    @F.arrow_udf("long")
+    def differing(left: pa.Array, right: pa.Array) -> pa.Array:
+        a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint64).reshape(len(x), -1) for x in (left, right))
+        return pa.array(np.bitwise_count(a ^ b).sum(1, dtype=np.int64))
+
+    of = lambda side: classes.select(F.col("class").alias(side), F.col("fp").alias(f"{side}_fp"), F.col("size").alias(f"{side}_size"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    small = F.greatest("a_size", "b_size") < SMALL
+    return met.where(small | (differing("a_fp", "b_fp") <= radius)).select("a", "b")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of classes whose sets are similar enough."""
 
@@ -181,7 +195,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     hubs = ranked.groupBy("key").agg(F.max(F.struct("known", "class", "size")).alias("hub"))
     stars = ranked.join(hubs, "key").where((F.col("class") != F.col("hub.class")) & _comparable(F.col("size"), F.col("hub.size"), least))
     # One comparison a class: with the best known of its hubs. What that leaves apart is for the tiles.
-    stars = stars.groupBy("class").agg(F.max("hub").alias("hub")).select(F.col("hub.class").alias("a"), F.col("class").alias("b"))
+    stars = _within(stars.groupBy("class").agg(F.max("hub").alias("hub")).select(F.col("hub.class").alias("a"), F.col("class").alias("b")), classes, radius)
     nodes = known.join(classes.select("class", F.col("first.row").alias("row"), "fp"), "class").select("class", "row", "fp")
     texts = nodes.join(numbered.select(F.col(row).alias("row"), F.col(text_col).alias("text")), "row").select("class", "text")
     sets = stage(_sets(texts), "shingle-sets")
