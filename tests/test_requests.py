@@ -38,3 +38,14 @@ def test_restoring_each_candidate_once(shuffled):
     log = log_of(shuffled, 600)
     found, _ = requests.restore(log, log.select("id").distinct().selectExpr("id", "'me' AS actor", "'' AS reason"), NOW)
     assert {r.id: r.outcome for r in found.collect()} == {f"c{i}": "not_deleted" if i % 2 else "done" for i in range(600)}
+
+
+def test_states_and_requests_meet_by_a_join(shuffled):
+    """A union of both hands on the partitioning that its sides have in common, with which Spark leaves exchanges out."""
+    log = log_of(shuffled, 60)
+    asked = log.select("id").distinct().selectExpr("id", "'restore' AS action", "cast(null AS string) AS to_status").unionAll(shuffled.sql("SELECT null, 'restore', null UNION ALL SELECT null, 'delete', null UNION ALL SELECT 'new', 'delete', null"))
+    plan = requests.answered(log, asked.distinct())
+    assert {(r.id, r.place): r.outcome for r in plan.where("id IS NULL OR id = 'new'").collect()} == {(None, 1): "missing", ("new", 1): "missing"}
+    found, batch = requests.restore(log, log.select("id").distinct().selectExpr("id", "'me' AS actor", "'' AS reason"), NOW)
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert batch.versions.count() == batch.events.count() == 30

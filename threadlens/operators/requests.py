@@ -4,8 +4,8 @@ A request names a candidate (`id`), its place in order (`seq`) and an action: `t
 towards `to_status`, which takes all steps there or none: `review_decision` (detected, draft, in review, target) and `review_skill` (back
 to draft from rejected, to in review from deferred and failed, too). `version`, if not null, must be the candidate's version at that time.
 
-The rows of a candidate, its present state first, stream through one task in order; what is kept of it is its status, its version and
-the status to which it can be restored, however many requests it has.
+The requests of a candidate, each with the candidate's present state, stream through one task in order; what is kept of it is its status,
+its version and the status to which it can be restored, however many requests it has.
 
 Outcomes: done; same (a review that is there already); conflict (another version); invalid (no such step, status or action); missing (no such candidate);
 not_deleted and no_snapshot (nothing to restore). Ties in `seq` are in the order of version, action, to_status (last one first), actor and reason; null actors and
@@ -59,7 +59,7 @@ def steps_to(action: str, status: str, target: str, reason: str) -> list[tuple[s
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by id, a candidate's state before its requests; one row for each step made, or for a request without any."""
+    """Requests sorted by id, with their candidate's state before the first; one row for each step made, or for a request without any."""
     here: str | None = None
     status: str | None = None
     before: str | None = None  # what a deleted candidate was
@@ -69,10 +69,8 @@ def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for r in batch.to_pylist():
             if r["id"] is None or r["id"] != here:
-                here, status, before, version, restored, fresh, place = r["id"], None, None, 0, False, True, 0
-            if r["is_state"]:
-                status, before, version = r["status"], r["before"], r["at_version"]
-                continue
+                here, status, before, restored, fresh, place = r["id"], r["status"], r["before"], False, True, 0
+                version = 0 if status is None else r["at_version"]
             action, target = r["action"], r["to_status"]
             place += 1
             if action == "delete":
@@ -116,17 +114,17 @@ def answered(log: DataFrame, requests: DataFrame) -> DataFrame:
     given = {c.lower() for c in requests.columns}
     column = lambda c, kind, default: (F.coalesce(F.col(c).cast(kind), F.lit(default)) if c in given else F.lit(default).cast(kind)).alias(c)
     asked = requests.select(
-        F.col("id").cast("string").alias("id"), F.lit(False).alias("is_state"), column("seq", "long", 0), column("action", "string", "transition"), F.col("to_status") if "to_status" in given else F.lit(None).cast("string").alias("to_status"),
+        F.col("id").cast("string").alias("id"), column("seq", "long", 0), column("action", "string", "transition"), F.col("to_status") if "to_status" in given else F.lit(None).cast("string").alias("to_status"),
         column("version", "long", None), column("actor", "string", ""), column("reason", "string", ""),
     )
     wanted = asked.select("id").distinct()
     states = log.select(F.col("id").cast("string").alias("id"), "status", "version").join(wanted, "id", "left_semi")
     known, was = latest(states), trash(states).select("id", F.col("previous.status").alias("before"))
-    states = known.join(was, "id", "left").select("id", F.lit(True).alias("is_state"), "status", "before", F.col("version").cast("long").alias("at_version"))
-    rows = asked.unionByName(states, allowMissingColumns=True)
-    order = [F.col("id"), F.desc("is_state"), F.col("seq"), F.col("version"), F.col("action"), F.desc("to_status"), F.col("actor"), F.col("reason")]
-    # Not by `id` itself: where both sides of the union are partitioned by it, Spark 4.1 leaves that exchange out, and then merges small
-    # partitions of each side on its own, so that a state and its requests end up in different tasks.
+    states = known.join(was, "id", "left").select("id", "status", "before", F.col("version").cast("long").alias("at_version"))
+    rows = asked.join(states, "id", "left")
+    order = [F.col("id"), F.col("seq"), F.col("version"), F.col("action"), F.desc("to_status"), F.col("actor"), F.col("reason")]
+    # Not by `id` itself: where the rows are partitioned by it, Spark 4.1 leaves that exchange out, and as the fold asks for no partitioning
+    # of its own, partitions of the join may then be split or read otherwise, so that a candidate's requests end up in different tasks.
     return rows.repartition(F.xxhash64("id")).sortWithinPartitions(*order).mapInArrow(_fold, STEP)
 
 
