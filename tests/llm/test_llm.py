@@ -422,3 +422,27 @@ def test_near_copies_are_linked_by_fingerprints(spark):
     made = [" ".join([*text[:k], "z", *text[k + 1 :]]) for k in range(20, 180, 20)]
     docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
     assert near_copies.keep_one(docs).count() == 1 and near_copies.keep_one(docs, radius=-1).count() == len(made)
+
+
+def test_training_order_encodes_once(spark, docs):
+    """Only the pass that sends the sequences needs the tokenizer; slots leave out the places that no sequence takes."""
+    tokenizer, path = public_tokenizers.path("byte_bpe_50k.tiktoken"), stage_path(spark, "shards")
+    note = materialize.write_shards(docs, tokenizer, path, length=16, shard_slots=8)
+    assert note["places"] == sum(len((t or "").encode()) // 16 + 1 for t in TEXTS) > note["sequences"] == sum(note["counts"])
+    # Places come from lengths: no tokenizer is there to be asked.
+    assert sum(materialize._places(docs.selectExpr("doc_id AS id", "text"), 16)[0]) == note["places"]
+    rows = sorted(materialize.read_shards(spark, path).collect())
+    assert [r.slot for r in rows] == list(range(note["sequences"])) and len({(r.doc_id, r.part) for r in rows}) == len(rows)
+    at, fs = np.cumsum([0, *note["counts"]]), materialize.open_folder(path)
+    assert all(at[r.shard] <= r.slot < at[r.shard + 1] for r in rows)
+    for low, high in ((0, 1), (at[3], at[5]), (7, 30), (len(rows) - 1, len(rows) + 5), (5, 5)):
+        assert sorted(materialize.read_shards(spark, path, (int(low), int(high))).collect()) == rows[low:high]
+    # Shards that are lost or cut are written again, alike.
+    cut, lost = (int(s) for s in np.argsort(note["counts"])[-2:])
+    with fs[0].open_input_stream(f"{fs[1]}/shard-{cut:08d}.bin") as f:
+        head = f.read(16 + 16 * 2)
+    with fs[0].open_output_stream(f"{fs[1]}/shard-{cut:08d}.bin") as f:
+        f.write(head)
+    fs[0].delete_file(f"{fs[1]}/shard-{lost:08d}.bin")
+    assert materialize.write_shards(docs, tokenizer, path, length=16, shard_slots=8, resume=True) == note
+    assert sorted(materialize.read_shards(spark, path).collect()) == rows
